@@ -104,6 +104,7 @@ NAMES = [c[0] for c in CUES]
 _NUMBER = {n: k for k, n in enumerate(NAMES)}
 _HEADINGS = {"hash_heading", "equals_heading", "underline"}
 _LISTS = {"dash_item", "star_item", "task", "item"}
+_TICKED = {"tick", "ticks", "tick_link", "role"}
 _MATH = {"display", "inline_paren", "dollars", "dollar_math"}
 
 #: Code blocks: what lies between the groups' ends is code.
@@ -142,7 +143,15 @@ def scan(text: str) -> list[tuple[int, int, int, re.Match]]:
                 continue
             out.append((k, a, z, m))
     out.sort(key=lambda c: (c[1], -c[2]))
-    return out
+    # back-ticks pair up from the left: what starts inside such a cue pairs its end with the next one's start
+    kept, end = [], 0
+    for c in out:
+        if NAMES[c[0]] in _TICKED:
+            if c[1] < end:
+                continue
+            end = c[2]
+        kept.append(c)
+    return kept
 
 
 @dataclass
