@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 JSON_FIELDS = "text string, source_title string"
@@ -77,3 +77,19 @@ def language_names(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Every name of a language in lower case, with its iso_code; language_codes is a fixed table of 13 rows."""
     rows = table(spark, sf_dir, "language_codes").select("iso_code", "iso3_code", "english_name").limit(1000).collect()
     return {str(n).lower(): r.iso_code for r in rows for n in (r.iso_code, r.iso3_code, r.english_name) if n}
+
+
+def rank_within(df: DataFrame, by: list[str], order: list[str], rows: int, out: str = "rank") -> DataFrame:
+    """Numbers the rows of each group from 0, without ever sorting a group in one task.
+
+    Rows fall into hash buckets of the order columns; buckets are counted, their
+    counts summed up in bucket order, and rows are numbered inside their bucket.
+    The order is thereby a seeded one: by bucket, then by hash, then by the columns.
+    """
+    buckets = min(4096, max(8, rows // 50_000))
+    h = df.withColumn("_h", F.xxhash64(*[F.col(c).cast("string") for c in order])).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)).cast("int"))
+    counts = h.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *order))
+    return h.withColumn("_r", inside).join(offsets, [*by, "_b"]).withColumn(out, F.col("_o") + F.col("_r") - 1).drop("_h", "_b", "_r", "_o")
