@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("evaluation",)
+MODULES: tuple[str, ...] = ("evaluation", "statistics")
 
 
 def _gather(what: str) -> dict:
