@@ -75,8 +75,10 @@ def merge_short(df: DataFrame, key: str, parts: Column, min_length: int, joiner:
 def vocabulary(df: DataFrame, text: str, unicode: bool = False) -> DataFrame:
     """(token, n, docs) of a corpus; counts combine before the shuffle, also those of one hot token."""
     t = df.select(X.tokens(F.col(text), unicode).alias("t")).where("t is not null")
-    per = t.select(F.explode(F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("token"), F.size(F.filter("t", lambda x: x == w)).alias("n")))).alias("s")).select("s.*")
-    return per.groupBy("token").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("docs"))
+    # an entry for each token and one for each distinct token of a text: both counts come from one pass
+    one = lambda c, n, d: F.transform(c, lambda w: F.struct(w.alias("token"), F.lit(n).alias("n"), F.lit(d).alias("d")))
+    per = t.select(F.explode(F.concat(one(F.col("t"), 1, 0), one(F.array_distinct("t"), 0, 1))).alias("s")).select("s.*")
+    return per.groupBy("token").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
 
 
 def vocabulary_stats(df: DataFrame, text: str) -> DataFrame:

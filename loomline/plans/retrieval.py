@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as R
+from ..session import spread
 from .evaluation import t
 
 QUERIES: dict = {}
@@ -23,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(s, d):
-    return t(s, d, "documents").select("doc_id", "text", "source", "section_type", "lang")
+    return spread(t(s, d, "documents").select("doc_id", "text", "source", "section_type", "lang"))
 
 
 def vectors(s, d):

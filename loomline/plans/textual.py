@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import chunking as C
 from ..operators.ordered import quantiles
+from ..session import spread
 from .evaluation import rounded, t
 
 QUERIES: dict = {}
@@ -24,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(s, d, *more):
-    return t(s, d, "documents").select("doc_id", "text", *more)
+    return spread(t(s, d, "documents").select("doc_id", "text", *more))
 
 
 _TOK = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w))"
