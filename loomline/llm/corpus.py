@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 JSON_FIELDS = "text string, source_title string"
 
 
@@ -24,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def states(spark: SparkSession, sf_dir: str, *columns: str, title: bool = False) -> DataFrame:
     """All states with doc_id, stored_at, the text and the given columns; the text of a broken json_data is null."""
     fields = JSON_FIELDS if title else "text string"
-    df = table(spark, sf_dir, "corpus_documents")
+    df = spread(table(spark, sf_dir, "corpus_documents").select("doc_id", "stored_at", *columns, "json_data"))
     j = F.from_json("json_data", fields)
     picked = [j["text"].alias("text")] + ([j["source_title"].alias("source_title")] if title else [])
     return df.select("doc_id", "stored_at", *columns, *picked)
@@ -64,6 +66,11 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)) < keep).limit(2 * rows)
 
 
+def texts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of the documents table."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def language_label(label: Column, codes: dict[str, str]) -> Column:
     """The iso_code that a label names, or null. ``codes`` has lower-case names of languages."""
     low = F.lower(F.trim(label))

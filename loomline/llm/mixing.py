@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 from .corpus import rank_within, table
 from .tokens import count_tokens
 
@@ -151,7 +151,7 @@ def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, float, in
 
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each mix with their repeats."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "text"))
     wanted = sorted({t[1] for t in _targets(spark, sf_dir)})
     return mix(count_tokens(docs.where(F.col("source").isin(wanted))), _targets(spark, sf_dir))
 

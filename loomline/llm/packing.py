@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .corpus import rank_within, table
+from .corpus import rank_within, table, texts_of
 from .tokens import count_tokens
 
 STEP_BOXES = 64
@@ -139,7 +139,7 @@ def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
 
 def p7_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document, or of its pieces, in boxes of each capacity."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts_of(spark, sf_dir)
     return pack(count_tokens(docs), _capacities(spark, sf_dir))
 
 

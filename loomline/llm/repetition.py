@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpus import table
+from .corpus import texts_of
 
 N = 8
 FRESH_BUCKETS = 4096
@@ -205,7 +205,7 @@ def measure_repetition(df: DataFrame, model: RepetitionModel, key: str = "doc_id
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and share of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts_of(spark, sf_dir)
     return measure_repetition(docs, fit_repetition(docs))
 
 
