@@ -328,7 +328,7 @@ def clean(text: str, cues: list[tuple[int, int, int, re.Match, int, float]]) ->
                     if line == "\n":
                         flush()
                     elif line:
-                        hit = next(((k, f) for c, d, k, f in mark if c <= start + max(0, len(line) - len(line.lstrip())) and start < d or start <= c < start + len(line) and k != "formula"), None)
+                        hit = next(((k, f) for c, d, k, f in mark if c <= start + max(0, len(line) - len(line.lstrip())) and start <= d or start <= c < start + len(line) and k != "formula"), None)
                         if hit:
                             role = hit
                         buffer += line
