@@ -214,4 +214,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_scores(spark, sf_dir).where("repeated_share >= 0.3").select("doc_id")
 
 
+ORACLE = {
+    "p9_found": """
+        with split as (
+          select doc_id, regexp_extract_all(regexp_replace(regexp_replace(lower(text), '\\p{N}+', '0', 'g'),
+                 '([\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}])', ' \\1 ', 'g'), '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]|[\\p{L}\\p{N}]+') as w
+          from documents where text is not null),
+        runs as (
+          select doc_id, len(w) as n, unnest(range(1, len(w) - 6)) as i, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' '))) as run
+          from split where len(w) >= 9),
+        again as (select *, row_number() over (partition by doc_id, run order by i) > 1 as rep from runs),
+        hit as (select distinct doc_id, n, unnest(range(i, i + 8)) as at from again where rep)
+        select doc_id from hit group by doc_id, n having count(*) / n >= 0.3""",
+}
 QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores}
