@@ -121,3 +121,43 @@ def html_sections(df: DataFrame, key: str, html: str) -> DataFrame:
     tag = F.lower(F.regexp_extract("e", r"(?i)^<([a-z0-9]+)", 1))
     kind = F.when(tag.isin("title", "h1"), "title").when(tag.startswith("h"), "header").otherwise("text")
     return x.select(key, "element_index", tag.alias("html_tag"), kind.alias("section_type"), F.trim(F.regexp_replace(X.strip_tags(F.col("e")), r"\s+", " ")).alias("section_text"))
+
+
+def pack_parts(df: DataFrame, key: str, parts: Column, max_length: int, joiner: str = " ") -> DataFrame:
+    """Parts of an array packed in order into chunks of at most ``max_length`` characters; a longer part stands alone."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc: Column, p: Column) -> Column:
+        joined = F.concat(acc["open"], F.lit(joiner), p)
+        fits = F.length(joined) <= max_length
+        return F.when(acc["open"] == "", F.struct(acc["done"].alias("done"), p.alias("open"))).otherwise(F.struct(F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(fits, joined).otherwise(p).alias("open")))
+
+    done = F.aggregate(parts, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    return df.select(key, F.posexplode(done).alias("chunk_index", "chunk"))
+
+
+#: Frequent English words that carry no topic (fixed values).
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "each", "for", "from", "if", "in", "into", "is", "it", "its", "of", "on", "or", "our", "that", "the", "this", "to", "until", "was", "we", "when", "while", "with", "without")
+
+
+def word_chunks(df: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = STOP_WORDS, min_length: int = 2, n: int = 1) -> DataFrame:
+    """(key, tokens, ngrams): lower-case words without stop words, numbers and short words, and their n-grams."""
+    w = df.select(key, F.col(text).alias("_t")).withColumn("_w", X.tokens(F.col("_t"), False))
+    kept = F.filter("_w", lambda x: (F.length(x) >= min_length) & ~x.isin(*stop_words) & ~x.rlike("^[0-9]+$"))
+    return w.select(key, kept.alias("tokens")).select(key, "tokens", X.ngrams(F.col("tokens"), n).alias("ngrams"))
+
+
+def merge_similar(df: DataFrame, key: str, chunk: str, vector: str, order: str, threshold: float) -> DataFrame:
+    """(key, chunk_index, chunk): neighbouring chunks of a document joined while the mean vector so far and the next one have at least this cosine. A document's chunks meet in one fold, never more."""
+    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(chunk).alias("c"), F.transform(vector, lambda v: v.cast("double")).alias("v")))).alias("r"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.array().cast("array<double>").alias("sum"))
+
+    def step(acc: Column, p: Column) -> Column:
+        near = F.coalesce(F.try_divide(dot(acc["sum"], p["v"]), F.sqrt(dot(acc["sum"], acc["sum"]) * dot(p["v"], p["v"]))), F.lit(0.0)) >= threshold
+        fresh = F.struct(acc["done"].alias("done"), p["c"].alias("open"), p["v"].alias("sum"))
+        joined = F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit(" "), p["c"]).alias("open"), F.zip_with(acc["sum"], p["v"], lambda x, y: x + y).alias("sum"))
+        cut = F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), p["c"].alias("open"), p["v"].alias("sum"))
+        return F.when(F.size(acc["sum"]) == 0, fresh).when(near, joined).otherwise(cut)
+
+    return rows.select(key, F.posexplode(F.aggregate("r", start, step, lambda a: F.array_append(a["done"], a["open"]))).alias("chunk_index", "chunk"))

@@ -133,29 +133,39 @@ def knn_join(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def hyperplanes(dims: int, tables: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((tables * bits, max(1, dims)))
+
+
+def sign_codes(m: np.ndarray, planes: np.ndarray, tables: int, bits: int, probe: bool) -> np.ndarray:
+    """Codes of vectors (rows) in every table; with ``probe`` also those one sign away."""
+    sign = (m @ planes.T > 0).reshape(len(m), tables, bits)
+    code = (sign << np.arange(bits)).sum(axis=2)
+    base = np.arange(tables) * (1 << bits)
+    keys = [base + code]
+    if probe:
+        keys += [base + (code ^ (1 << j)) for j in range(bits)]
+    return np.concatenate(keys, axis=1)
+
+
+def lsh_codes(df: DataFrame, key: str, vector: str, planes: np.ndarray, tables: int, bits: int, probe: bool, out: str) -> DataFrame:
+    """(out, code): a row for each vector and code."""
+
+    def run(batches):
+        for b in batches:
+            m = np.array(b.column(1).to_pylist(), np.float64)
+            if len(m):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(map(int, r)) for r in sign_codes(m, planes, tables, bits, probe)], pa.list_(pa.int32()))], names=[out, "codes"])
+
+    got = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, f"{out} long, codes array<int>")
+    return got.select(out, F.explode("codes").alias("code"))
+
+
 def lsh_knn(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, dims: int, tables: int = 24, bits: int = 6, seed: int = 11) -> DataFrame:
     """(query_id, item_id, score, rank): approximate nearest items by random hyperplanes: candidates share the signs of ``bits`` projections in any table, or all but one of them."""
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((tables * bits, dims))
-
-    def codes(df: DataFrame, probe: bool, out: str) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                m = np.array(b.column(1).to_pylist(), np.float64)
-                if not len(m):
-                    continue
-                sign = (m @ planes.T > 0).reshape(len(m), tables, bits)
-                code = (sign << np.arange(bits)).sum(axis=2)
-                keys = [np.arange(tables) * (1 << bits) + code]
-                if probe:
-                    keys += [np.arange(tables) * (1 << bits) + (code ^ (1 << j)) for j in range(bits)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(map(int, r)) for r in np.concatenate(keys, axis=1)], pa.list_(pa.int32()))], names=[out, f"{out}_v", "codes"])
-
-        got = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), F.col(vector).cast("array<float>")).mapInArrow(run, f"{out} long, {out}_v array<float>, codes array<int>")
-        return got.select(out, f"{out}_v", F.explode("codes").alias("code"))
-
-    a, b = codes(queries, True, "query_id"), codes(items, False, "item_id")
-    pairs = a.select("query_id", "code").join(b.select("item_id", "code"), "code").where("query_id <> item_id").select("query_id", "item_id").distinct()
+    planes = hyperplanes(dims, tables, bits, seed)
+    a, b = lsh_codes(queries, key, vector, planes, tables, bits, True, "query_id"), lsh_codes(items, key, vector, planes, tables, bits, False, "item_id")
+    pairs = a.join(b, "code").where("query_id <> item_id").select("query_id", "item_id").distinct()
     qv = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("q"))
     iv = items.select(F.col(key).cast("long").alias("item_id"), F.col(vector).alias("v"))
     scored = pairs.join(qv, "query_id").join(iv, "item_id").select("query_id", "item_id", F.round(distance(F.col("q"), F.col("v"), "cosine"), 8).alias("score"))
