@@ -180,3 +180,22 @@ def redact(text: Column) -> Column:
     """E-mail addresses and telephone-like digit groups replaced by placeholders."""
     t = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
     return F.regexp_replace(t, r"\+?[0-9]{1,3}[ -][0-9]{3}[ -][0-9]{3,4}[ -][0-9]{3,4}", "[PHONE]")
+
+
+def split_sentences(text: Column) -> Column:
+    """Sentences by the full stops of many scripts; wide ones need no blank after them."""
+    marked = F.regexp_replace(F.regexp_replace(text, r"([.!?؟।።])\s+", "$1\x01"), r"([。！？])\s*", "$1\x01")
+    return F.filter(F.transform(F.split(marked, "\x01"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def has_cjk(text: Column) -> Column:
+    return text.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]")
+
+
+def has_rtl(text: Column) -> Column:
+    return text.rlike(r"[\p{IsArabic}\p{IsHebrew}]")
+
+
+def split_cjk(text: Column) -> Column:
+    """One token for each Han character, runs of letters and digits otherwise."""
+    return F.regexp_extract_all(text, F.lit(r"(\p{IsHan}|[A-Za-z0-9]+)"), F.lit(1))

@@ -161,3 +161,12 @@ def merge_similar(df: DataFrame, key: str, chunk: str, vector: str, order: str,
         return F.when(F.size(acc["sum"]) == 0, fresh).when(near, joined).otherwise(cut)
 
     return rows.select(key, F.posexplode(F.aggregate("r", start, step, lambda a: F.array_append(a["done"], a["open"]))).alias("chunk_index", "chunk"))
+
+
+def parse_microdvd(df: DataFrame, key: str, text: str, frame_rate: float = 25.0) -> DataFrame:
+    """(key, cue, start_s, end_s, cue_text) of {start}{end}text lines counted in frames; | breaks a line."""
+    line = r"^\{([0-9]+)\}\{([0-9]+)\}(.*)$"
+    x = df.select(key, F.posexplode(F.split(F.regexp_replace(F.col(text), "\r", ""), "\n")).alias("_i", "l")).where(F.col("l").rlike(line))
+    at = lambda g: F.regexp_extract("l", line, g).cast("double") / frame_rate
+    w = Window.partitionBy(key).orderBy("_i")
+    return x.select(key, F.row_number().over(w).alias("cue"), at(1).alias("start_s"), at(2).alias("end_s"), F.trim(F.regexp_replace(F.regexp_extract("l", line, 3), r"\|", " ")).alias("cue_text"))

@@ -274,3 +274,29 @@ def missing_profile(df: DataFrame, top: int = 25) -> DataFrame:
     one = df.agg(*[F.coalesce(gone(c, t), F.lit(0)).alias(c) for c, t in df.dtypes])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_missing")) for c in df.columns]))
     return one.select(rows.alias("r")).select("r.*").orderBy(F.desc("n_missing"), "column_name").limit(top)
+
+
+def roc_macro(df: DataFrame, truth: str, scores: dict[str, str], points: int = 101) -> DataFrame:
+    """(fpr, tpr): the mean over classes of their curves at evenly spaced false-positive rates.
+
+    Each class's curve is a step between its distinct scores; it is read at every grid point with linear interpolation.
+    """
+    long = df.where(F.col(truth).isNotNull()).select(F.explode(F.array(*[F.struct(F.lit(k).alias("class"), (F.col(truth) == k).alias("y"), F.col(c).cast("double").alias("s")) for k, c in scores.items()])).alias("z")).select("z.*")
+    c = long.where(F.col("s").isNotNull() & ~F.isnan("s")).groupBy("class", "s").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((~F.col("y")).cast("long")).alias("neg"))
+    w = Window.partitionBy("class").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("class")
+    p = c.select("class", F.try_divide(F.sum("neg").over(w), F.sum("neg").over(every)).alias("x"), F.try_divide(F.sum("pos").over(w), F.sum("pos").over(every)).alias("y"))
+    zero = p.select("class").distinct().select("class", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    p = p.unionByName(zero).groupBy("class", "x").agg(F.max("y").alias("y"))
+    o = Window.partitionBy("class").orderBy("x")
+    p = p.withColumn("x0", F.lag("x").over(o)).withColumn("y0", F.lag("y").over(o))
+    grid = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
+    at = p.select("class", "x", "y", "x0", "y0", F.explode(F.filter(grid, lambda g: (g <= F.col("x")) & (F.col("x0").isNull() | (g > F.col("x0"))))).alias("fpr"))
+    value = F.when(F.col("x0").isNull() | (F.col("fpr") == F.col("x")), F.col("y")).otherwise(F.col("y0") + (F.col("y") - F.col("y0")) * (F.col("fpr") - F.col("x0")) / (F.col("x") - F.col("x0")))
+    return at.groupBy("fpr").agg(F.avg(value).alias("tpr"))
+
+
+def selection_summary(table: DataFrame, tile: int) -> DataFrame:
+    """One row: customers, responders, response rate and lift of the tiles up to ``tile`` of a decile table."""
+    s = table.where(F.col("decile") <= tile)
+    return s.agg(F.sum("cnt_cust").alias("customers"), F.sum("cnt_resp").alias("responders"), F.try_divide(F.sum("cnt_resp"), F.sum("cnt_cust")).alias("response"), F.max_by("lift", "decile").alias("lift"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("evaluation", "statistics", "textual", "retrieval", "customers", "streams", "connectors", "kernels", "modelling")
+MODULES: tuple[str, ...] = ("evaluation", "statistics", "textual", "retrieval", "customers", "streams", "connectors", "kernels", "modelling", "rows")
 
 
 def _gather(what: str) -> dict:
