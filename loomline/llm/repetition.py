@@ -9,8 +9,8 @@ score up. Both multinomials are counted over all documents.
 
 The threshold is fixed by the fitted model: a document in which a share s of the
 words is repeated has at least s/8 repeated windows for each word, which bounds
-its score from below. Every document at or above the bound then has its share
-measured exactly.
+its score from below. Of the documents at or above the bound, the exact share
+decides. Texts are read once: the pass keeps each document's events.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .corpus import texts_of
 
 N = 8
@@ -141,72 +142,83 @@ class RepetitionModel:
         return k * min(self.again_least, 1e9) + (1 - k) * self.fresh_least if self.again_least > self.fresh_least else -math.inf
 
 
-def fit_repetition(df: DataFrame, text: str = "text") -> RepetitionModel:
-    """Counts events over all rows; partitions send at most a few thousand partial counts each."""
+def scan_repetition(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_words, events, exact_share): the one pass over the texts. ``events`` has the buckets of all windows as 16-bit numbers; ``exact_share`` is measured where any window repeats, and 0 elsewhere."""
+    kind = df.schema[key].dataType.simpleString()
 
-    def count(batches):
+    def run(batches):
         ids = _Ids()
-        size = FRESH_BUCKETS + AGAIN_BUCKETS
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for b in batches:
-            texts = b.column(0).to_pylist()
+            texts = b.column(1).to_pylist()
+            count, events_, exact = np.zeros(len(texts), np.int64), [b""] * len(texts), np.zeros(len(texts))
             for a, z in _slices(texts):
                 if len(ids) > 300_000:
                     ids.clear()
-                h, doc, again = windows([words(t) for t in texts[a:z]], ids)
-                e = events(h, again)
-                raw += np.bincount(e, minlength=size)
-                dirty = np.zeros(z - a, bool)
-                dirty[doc[again]] = True
-                target += np.bincount(e[~dirty[doc]], minlength=size)
+                docs = [words(t) for t in texts[a:z]]
+                h, doc, again = windows(docs, ids)
+                e = events(h, again).astype("<u2")
+                edges = np.searchsorted(doc, np.arange(z - a + 1))
+                count[a:z] = [len(d) for d in docs]
+                for i in range(z - a):
+                    events_[a + i] = e[edges[i] : edges[i + 1]].tobytes()
+                for i in np.unique(doc[again]):
+                    exact[a + i] = repeated_share(docs[i])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(events_, pa.binary()), pa.array(exact)], names=[key, "n_words", "events", "exact_share"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words long, events binary, exact_share double")
+
+
+def fit_repetition(scanned: DataFrame) -> RepetitionModel:
+    """Counts the events of all rows; partitions send at most a few thousand partial counts each."""
+
+    def count(batches):
+        size = FRESH_BUCKETS + AGAIN_BUCKETS
+        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                if x:
+                    e = np.bincount(np.frombuffer(x, "<u2"), minlength=size)
+                    raw += e
+                    if not e[FRESH_BUCKETS:].any():
+                        target += e
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
-    got = df.select(text).mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    got = scanned.select("events").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(FRESH_BUCKETS + AGAIN_BUCKETS), np.zeros(FRESH_BUCKETS + AGAIN_BUCKETS)
     for r in got:
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     return RepetitionModel.of_counts(raw, target)
 
 
-def measure_repetition(df: DataFrame, model: RepetitionModel, key: str = "doc_id", text: str = "text", share: float = 0.3) -> DataFrame:
+def measure_repetition(df: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.3) -> DataFrame:
     """(key, n_words, repetition_score, repeated_share) of each row.
 
-    ``repeated_share`` is exact for documents at or above the threshold for
-    ``share``; it is null below, where it is certainly smaller than ``share``.
+    ``repeated_share`` is exact for documents whose score reaches the threshold
+    for ``share``; it is null below, where it is certainly smaller than ``share``.
     Null and empty texts have no words and score 0.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    scanned = materialise(scan_repetition(df, key, text), "repetition")
+    shared = df.sparkSession.sparkContext.broadcast(fit_repetition(scanned))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         m = shared.value
         limit = m.threshold(share) - 1e-9
-        ids = _Ids()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            count, score, exact = np.zeros(len(texts), np.int64), np.zeros(len(texts)), [None] * len(texts)
-            for a, z in _slices(texts):
-                if len(ids) > 300_000:
-                    ids.clear()
-                docs = [words(t) for t in texts[a:z]]
-                h, doc, again = windows(docs, ids)
-                sums = np.bincount(doc, weights=m.ratio[events(h, again)], minlength=z - a) if len(h) else np.zeros(z - a)
-                n = np.bincount(doc, minlength=z - a) if len(h) else np.zeros(z - a, np.int64)
-                s = sums / np.maximum(n, 1)
-                score[a:z] = s
-                count[a:z] = [len(d) for d in docs]
-                for i in np.flatnonzero((s >= limit) & (n > 0)):
-                    exact[a + i] = repeated_share(docs[i])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(score), pa.array(exact, pa.float64())], names=[key, "n_words", "repetition_score", "repeated_share"])
+            e = [np.frombuffer(x or b"", "<u2") for x in b.column(2).to_pylist()]
+            score = np.array([m.ratio[x].mean() if len(x) else 0.0 for x in e])
+            some = np.array([len(x) > 0 for x in e], bool)
+            exact = b.column(3).to_numpy(zero_copy_only=False)
+            kept = pa.array(np.where((score >= limit) & some, exact, np.nan), pa.float64(), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), kept], names=[key, "n_words", "repetition_score", "repeated_share"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words long, repetition_score double, repeated_share double")
+    return scanned.select(key, "n_words", "events", "exact_share").mapInArrow(run, f"`{key}` {kind}, n_words long, repetition_score double, repeated_share double")
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and share of every document."""
-    docs = texts_of(spark, sf_dir)
-    return measure_repetition(docs, fit_repetition(docs))
+    return measure_repetition(texts_of(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

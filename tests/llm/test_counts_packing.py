@@ -113,8 +113,7 @@ def test_repetition_against_brute_force(spark):
             t += " " + " ".join(cut) * rng.randint(1, 3)
         rows.append((i, t))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    m = repetition.fit_repetition(df)
-    got = {r.doc_id: r for r in repetition.measure_repetition(df, m).collect()}
+    got = {r.doc_id: r for r in repetition.measure_repetition(df).collect()}
     for i, t in rows:
         want = brute_share(repetition.words(t))
         assert abs(repetition.repeated_share(repetition.words(t)) - want) < 1e-12
@@ -122,7 +121,7 @@ def test_repetition_against_brute_force(spark):
             assert want < 0.3
         else:
             assert abs(got[i].repeated_share - want) < 1e-12
-    assert repetition.measure_repetition(df.where("false"), repetition.fit_repetition(df.where("false"))).count() == 0
+    assert repetition.measure_repetition(df.where("false")).count() == 0
 
 
 def test_words_follow_the_definition():
