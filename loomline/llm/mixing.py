@@ -145,8 +145,9 @@ def mix(docs: DataFrame, targets: list[tuple[str, str, float, int]], seed: int =
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, float, int]]:
-    """mix_targets is a fixed table of 19 rows."""
-    return [(r.mix_id, r.source.strip().lower(), r.target_share, r.max_repeats) for r in table(spark, sf_dir, "mix_targets").limit(10_000).collect()]
+    """mix_targets is a fixed table of 19 rows; rows without a mix or source aim at nothing."""
+    rows = table(spark, sf_dir, "mix_targets").limit(10_000).collect()
+    return [(r.mix_id, r.source.strip().lower(), r.target_share, r.max_repeats) for r in rows if r.mix_id is not None and r.source is not None]
 
 
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,7 +134,7 @@ def pack(lengths: DataFrame, capacities: dict[str, int], key: str = "doc_id", si
 
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     """box_capacities is a fixed table of 3 rows."""
-    return {r.box_id: r.capacity_tokens for r in table(spark, sf_dir, "box_capacities").limit(1000).collect()}
+    return {r.box_id: r.capacity_tokens for r in table(spark, sf_dir, "box_capacities").limit(1000).collect() if r.box_id is not None and (r.capacity_tokens or 0) > 0}
 
 
 def p7_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
