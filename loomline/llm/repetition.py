@@ -7,10 +7,11 @@ window together with whether the same window started earlier in the document.
 Repeated windows have next to no mass in the target, so repetition drives the
 score up. Both multinomials are counted over all documents.
 
-The threshold is fixed by the fitted model: a document in which a share s of the
-words is repeated has at least s/8 repeated windows for each word, which bounds
-its score from below. Of the documents at or above the bound, the exact share
-decides. Texts are read once: the pass keeps each document's events.
+The exact share is measured in the same pass for every document in which any
+window repeats, and is 0 elsewhere; it alone decides what p9_found returns. The
+score stands beside it: the model's threshold for a share is a lower bound, so
+no document with that share scores below it. Texts are read once: the pass keeps
+each document's events.
 """
 
 from __future__ import annotations
@@ -191,12 +192,11 @@ def fit_repetition(scanned: DataFrame) -> RepetitionModel:
     return RepetitionModel.of_counts(raw, target)
 
 
-def measure_repetition(df: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.3) -> DataFrame:
+def measure_repetition(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, repetition_score, repeated_share) of each row.
 
-    ``repeated_share`` is exact for documents whose score reaches the threshold
-    for ``share``; it is null below, where it is certainly smaller than ``share``.
-    Null and empty texts have no words and score 0.
+    ``repeated_share`` is exact for every row, 0 where nothing repeats. Null and
+    empty texts have no words, score 0 and share 0.
     """
     scanned = materialise(scan_repetition(df, key, text), "repetition")
     shared = df.sparkSession.sparkContext.broadcast(fit_repetition(scanned))
@@ -204,14 +204,10 @@ def measure_repetition(df: DataFrame, key: str = "doc_id", text: str = "text", s
 
     def run(batches):
         m = shared.value
-        limit = m.threshold(share) - 1e-9
         for b in batches:
             e = [np.frombuffer(x or b"", "<u2") for x in b.column(2).to_pylist()]
             score = np.array([m.ratio[x].mean() if len(x) else 0.0 for x in e])
-            some = np.array([len(x) > 0 for x in e], bool)
-            exact = b.column(3).to_numpy(zero_copy_only=False)
-            kept = pa.array(np.where((score >= limit) & some, exact, np.nan), pa.float64(), from_pandas=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), kept], names=[key, "n_words", "repetition_score", "repeated_share"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), b.column(3)], names=[key, "n_words", "repetition_score", "repeated_share"])
 
     return scanned.select(key, "n_words", "events", "exact_share").mapInArrow(run, f"`{key}` {kind}, n_words long, repetition_score double, repeated_share double")
 

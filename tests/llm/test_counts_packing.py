@@ -124,6 +124,15 @@ def test_repetition_against_brute_force(spark):
     assert repetition.measure_repetition(df.where("false")).count() == 0
 
 
+def test_share_of_every_document(spark):
+    run = "one two three four five six seven eight"
+    fill = [" ".join(f"{chr(97 + i)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(84)) for i in range(26)]
+    docs = [(0, f"{run} {fill[0]} {run}"), (1, fill[1]), (2, None), (3, "")] + [(4 + i, f) for i, f in enumerate(fill[2:])]
+    got = {r.doc_id: r.repeated_share for r in repetition.measure_repetition(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert abs(got.pop(0) - 0.08) < 1e-12
+    assert len(got) == len(docs) - 1 and set(got.values()) == {0.0}
+
+
 def test_words_follow_the_definition():
     assert repetition.words("Ab12cd, 3.4 é－漢字カナx") == ["ab0cd", "0", "0", "é", "漢", "字", "カ", "ナ", "x"]
 
