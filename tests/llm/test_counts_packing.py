@@ -192,6 +192,20 @@ def test_large_class_links_to_its_representative(spark, monkeypatch):
     assert got == {("h000", f"h{i:03}") for i in range(1, 40)}
 
 
+def test_large_class_of_different_texts_lists_every_pair(spark, monkeypatch):
+    from datetime import datetime
+
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
+    ws = [f"word{i}" for i in range(60)]
+    spelled = lambda ws, i: " ".join(w.upper() if i >> k & 1 else w for k, w in enumerate(ws))
+    rows = [(f"v{i:03}", datetime(2024, 1, 1), spelled(ws, i)) for i in range(70)] + [(f"x{i:03}", datetime(2024, 1, 1), spelled([*ws[:-1], "other"], i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id string, stored_at timestamp, text string")
+    monkeypatch.setattr(neardup, "_corpus", lambda *_: neardup.near_duplicates(df, df.count()))
+    got = [tuple(r) for r in neardup.p3_found(spark, "").collect()]
+    want = set(itertools.combinations(sorted(r[0] for r in rows), 2))
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_near_duplicates_of_nothing(spark):
     df = corpus(spark).where("false")
     members, links = neardup.near_duplicates(df, 0)
