@@ -180,3 +180,28 @@ def fuse(legs: list[tuple[DataFrame, float]], key: str, k: int = 60, top: int =
     for p in parts[1:]:
         both = both.unionByName(p)
     return both.groupBy(key).agg(F.round(F.sum("c"), 8).alias("score")).orderBy(F.desc("score"), key).limit(top)
+
+
+def near_names(df: DataFrame, column: str, most: int) -> DataFrame:
+    """(a, b, distance): all pairs of distinct values, a < b, within an edit distance of ``most``.
+
+    The shorter value of a pair is cut into ``most`` + 1 pieces; as many edits leave
+    one of them whole, so it occurs in the longer value at most ``most`` places
+    away. Pieces are looked up by length and number, and no pair is lost.
+    """
+    x = df.select(F.col(column).alias("a")).where("a is not null").distinct().withColumn("n", F.length("a"))
+    edge = lambda i, n: F.floor(i * n / (most + 1)).cast("int")
+    numbers = F.sequence(F.lit(0), F.lit(most))
+
+    def piece(text: Column, n: Column, i: Column, shift: Column) -> Column:
+        start, size = edge(i, n) + shift, edge(i + 1, n) - edge(i, n)
+        fits = (start >= 0) & (start + size <= F.length(text))
+        return F.when(fits, F.struct(n.alias("n"), i.alias("i"), F.substring(text, start + 1, size).alias("piece")))
+
+    short = x.select("a", F.explode(F.transform(numbers, lambda i: piece(F.col("a"), F.col("n"), i, F.lit(0)))).alias("k"))
+    shifts = F.sequence(F.lit(-most), F.lit(most))
+    lengths = F.sequence(F.greatest(F.lit(0), F.col("n") - most), F.col("n"))
+    probes = F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(numbers, lambda i: F.transform(shifts, lambda o: piece(F.col("a"), n, i, o))))))
+    long = x.select(F.col("a").alias("b"), F.explode(F.array_distinct(F.array_compact(probes))).alias("k"))
+    pairs = short.join(long, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")

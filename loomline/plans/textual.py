@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import chunking as C
 from ..operators.ordered import quantiles
+from ..operators.search import near_names
 from ..session import spread
 from .evaluation import rounded, t
 
@@ -76,6 +77,7 @@ query("provenance_filename", "select distinct input_path, regexp_extract(input_p
 query("edit_distance", "with n as (select distinct p_name from part) select a.p_name as a, b.p_name as b, cast(levenshtein(a.p_name, b.p_name) as int) as distance from n a join n b on a.p_name < b.p_name and left(a.p_name, 1) = left(b.p_name, 1) where levenshtein(a.p_name, b.p_name) <= 4")(
     lambda s, d: (lambda n: n.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 1).alias("k")).join(n.select(F.col("p_name").alias("b"), F.substring("p_name", 1, 1).alias("k")), "k").where("a < b").select("a", "b", F.levenshtein("a", "b", 4).alias("distance")).where("distance >= 0"))(t(s, d, "part").select("p_name").distinct())
 )
+query("edit_distance_pairs", "with n as (select distinct p_name from part) select a.p_name as a, b.p_name as b, cast(levenshtein(a.p_name, b.p_name) as int) as distance from n a join n b on a.p_name < b.p_name where levenshtein(a.p_name, b.p_name) <= 4")(lambda s, d: near_names(t(s, d, "part"), "p_name", 4))
 query("human_size", "select input_path, max(case when n_bytes < 1024 then format('{:.1f} B', n_bytes::double) else format('{:.1f} KB', n_bytes / 1024.0::double) end) as size from reader_files where n_bytes < 1048576 group by 1")(lambda s, d: t(s, d, "reader_files").where("n_bytes < 1048576").groupBy("input_path").agg(F.max(X.human_size(F.col("n_bytes"))).alias("size")))
 query("dedup_lines", "with x as (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null), k as (select *, row_number() over (partition by doc_id, trim(l) order by i) as r from x) select doc_id, string_agg(l, chr(10) order by i) as clean from k where r = 1 or trim(l) = '' group by 1")(lambda s, d: X.dedup_lines(docs(s, d).where("text is not null"), "text", "clean").select("doc_id", "clean"))
 query("dedup_exact", "select min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by sha256(text)")(lambda s, d: docs(s, d).where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h"))

@@ -123,3 +123,24 @@ def test_bm25_without_hits_and_on_empty(spark):
     assert search.bm25(df, "k", "t", "seven").count() == 0
     assert search.bm25(df.where("false"), "k", "t", "one").count() == 0
     assert [r.k for r in search.bm25(df, "k", "t", "one one").collect()] == [1]
+
+
+def test_near_names_against_brute_force(spark):
+    import itertools
+    import random
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    names = {"".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(120)} | {"old widget", "small widget", "widget"}
+    df = spark.createDataFrame([(x,) for x in [*names, *names, None]], "s string")
+    for most in (2, 4):
+        got = [tuple(r) for r in search.near_names(df, "s", most).collect()]
+        want = {(a, b, far(a, b)) for a, b in itertools.combinations(sorted(names), 2) if far(a, b) <= most}
+        assert len(got) == len(want) and set(got) == want
