@@ -199,3 +199,10 @@ def has_rtl(text: Column) -> Column:
 def split_cjk(text: Column) -> Column:
     """One token for each Han character, runs of letters and digits otherwise."""
     return F.regexp_extract_all(text, F.lit(r"(\p{IsHan}|[A-Za-z0-9]+)"), F.lit(1))
+
+
+def natural_key(text: Column) -> Column:
+    """A sort key by which every run of digits counts by its value and letters in lower case; numbers may be of any length."""
+    part = lambda k: F.regexp_extract_all(text, F.lit("([^0-9]*)([0-9]*)"), F.lit(k))
+    value = lambda d: F.regexp_replace(d, "^0+", "")
+    return F.zip_with(part(1), part(2), lambda t, d: F.struct(F.lower(t).alias("text"), F.when(d != "", F.length(value(d))).alias("size"), value(d).alias("digits")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
-from ..operators.ordered import quantiles
+from ..operators.ordered import quantiles, running_total
 from ..operators.search import near_names
 from ..session import spread
 from .evaluation import rounded, t
@@ -87,6 +87,10 @@ query("json_fields", "select doc_id, stored_at, json_extract_string(json_data, '
 query("natural_sort", "select input_path, (row_number() over (order by regexp_extract(input_path, '^corpora/([a-z-]+)', 1), cast(coalesce(nullif(regexp_extract(input_path, '/p([0-9]+)', 1), ''), '0') as bigint), input_path))::int as pos from (select distinct input_path from reader_files) order by pos limit 50")(
     lambda s, d: (lambda x: x.limit(50).withColumn("pos", F.monotonically_increasing_id()).coalesce(1).select("input_path", (F.row_number().over(__import__("pyspark").sql.Window.orderBy("a", "b", "input_path"))).alias("pos")))(t(s, d, "reader_files").select("input_path").distinct().withColumn("a", F.regexp_extract("input_path", "^corpora/([a-z-]+)", 1)).withColumn("b", F.coalesce(F.nullif(F.regexp_extract("input_path", "/p([0-9]+)", 1), F.lit("")), F.lit("0")).cast("bigint")).orderBy("a", "b", "input_path"))
 )
+_NAT = "regexp_extract_all(input_path, '([^0-9]*)([0-9]*)', {})"
+query("natural_sort_paths", f"select input_path, row_number() over (order by list_transform(list_zip({_NAT.format(1)}, {_NAT.format(2)}), lambda x: {{'t': lower(x[1]), 'n': coalesce(try_cast(x[2] as hugeint), -1)}}), input_path) as pos from (select distinct input_path from reader_files)")(
+    lambda s, d: running_total(t(s, d, "reader_files").select("input_path").distinct().withColumn("k", X.natural_key(F.col("input_path"))).withColumn("one", F.lit(1).cast("long")), [F.col("k"), F.col("input_path")], {"pos": "one"}).select("input_path", "pos")
+)
 _SRT = "1\n00:00:01,000 --> 00:00:02,500\n<i>{n}</i>\nsecond line\n\n2\n00:01:00,000 --> 00:01:03,250\nbye {n}\n"
 query("srt_parse", "select n_nationkey as id, 1 as cue, 1.0::double as start_s, 2.5::double as end_s, n_name || ' second line' as cue_text from nation union all select n_nationkey, 2, 60.0, 63.25, 'bye ' || n_name from nation")(lambda s, d: C.parse_subtitles(t(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.replace(F.lit(_SRT), F.lit("{n}"), F.col("n_name")).alias("x")), "id", "x"))
 query("html_sections", "select n_nationkey as id, unnest([0, 1, 2]) as element_index, unnest(['h1', 'p', 'li']) as html_tag, unnest(['title', 'text', 'text']) as section_type, unnest([n_name, 'about ' || n_name, 'item']) as section_text from nation")(lambda s, d: C.html_sections(t(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("<h1 class='a'>"), "n_name", F.lit("</h1><p>about <b>"), "n_name", F.lit("</b></p><ul><li>item</li></ul>")).alias("x")), "id", "x"))

@@ -144,3 +144,27 @@ def test_near_names_against_brute_force(spark):
         got = [tuple(r) for r in search.near_names(df, "s", most).collect()]
         want = {(a, b, far(a, b)) for a, b in itertools.combinations(sorted(names), 2) if far(a, b) <= most}
         assert len(got) == len(want) and set(got) == want
+
+
+def test_natural_order(spark):
+    import random
+    import re
+
+    from loomline.functions import text
+    from loomline.operators import ordered
+
+    names = [f"{a}{i}/p{k}_{i}{e}" for a in ("balodra-", "Balodra-", "c") for i in (2, 10, 19, 100) for k in ("9", "010", "10", "8" * 30) for e in ("", ".txt", "-")] + ["", "a", "a-", "a1", "a01"]
+    rows = [(x,) for x in names]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "p string").withColumn("k", text.natural_key(F.col("p"))).selectExpr("*", "1L as one")
+    got = {r.p: r.pos for r in ordered.running_total(df, [F.col("k"), F.col("p")], {"pos": "one"}).collect()}
+    key = lambda x: ([int(t) if t.isdigit() else t.lower() for t in re.split("([0-9]+)", x)], x)
+    assert got == {x: i + 1 for i, x in enumerate(sorted(names, key=key))}
+
+
+def test_natural_sort_numbers_every_path(spark, sf):
+    from loomline.plans import registry
+
+    paths = spark.read.parquet(f"{sf}/reader_files.parquet").select("input_path").distinct().count()
+    got = [r.pos for r in registry.queries()["natural_sort_paths"](spark, sf).collect()]
+    assert sorted(got) == list(range(1, paths + 1))
