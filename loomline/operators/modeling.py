@@ -144,6 +144,21 @@ def query_index(spark: SparkSession, path: str, query: list[float], k: int, tabl
     return got.select("id", F.round(distance(F.col("vector"), F.array(*[F.lit(float(v)) for v in query]), "cosine"), 8).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def query_index_all(queries: DataFrame, path: str, key: str, vector: str, k: int, tables: int = 24, bits: int = 6, seed: int = 5) -> DataFrame:
+    """(query_id, item_id, score, rank): as ``query_index`` for every row of ``queries`` that has a vector, in one join with the stored codes; ties by item."""
+    spark = queries.sparkSession
+    x = queries.where(F.col(vector).isNotNull())
+    row = x.select(F.size(vector).alias("d")).first()
+    probes = lsh_codes(x, key, vector, hyperplanes(row.d if row else 0, tables, bits, seed), tables, bits, True, "query_id")
+    codes = spark.read.parquet(f"{path}/codes").withColumnRenamed("id", "item_id")
+    pairs = probes.join(codes, "code").select("query_id", "item_id").distinct()
+    items = spark.read.parquet(f"{path}/vectors").toDF("item_id", "v")
+    own = x.select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("q"))
+    scored = pairs.join(own, "query_id").join(items, "item_id").select("query_id", "item_id", F.round(distance(F.col("v"), F.col("q"), "cosine"), 8).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def knuth_bins(df: DataFrame, column: str, most: int = 200) -> int:
     """The number of equal bins that maximises Knuth's posterior. One pass counts a fine histogram; coarser ones are sums of it, so M runs over divisors of its size."""
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")

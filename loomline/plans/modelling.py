@@ -31,8 +31,7 @@ def docs(s, d):
 def index_query(s, d):
     p = scratch_path(s, "index")
     M.save_index(t(s, d, "embeddings"), p, "vec_id", "embedding")
-    q = list(t(s, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
-    return M.query_index(s, p, q, 10)
+    return M.query_index_all(t(s, d, "embeddings").where("vec_id % 100 = 0"), p, "vec_id", "embedding", 10)
 
 
 query("roc_auc_by_group", "with g as (select l_linestatus, l_extendedprice / 120000.0 as s, count(*) filter (l_returnflag = 'R') as pos, count(*) filter (l_returnflag <> 'R') as neg from lineitem group by 1, 2), c as (select *, sum(pos) over (partition by l_linestatus order by s desc) as tp from g) select l_linestatus, round(sum(neg * (2 * tp - pos) / 2.0) / (sum(pos) * sum(neg)), 6) as auc, cast(sum(pos) as bigint) as n_pos, cast(sum(neg) as bigint) as n_neg from c group by 1")(lambda s, d: rounded(M.roc_auc_by_group(scored(s, d), "l_linestatus", F.col("y"), "s"), "auc"))

@@ -20,6 +20,21 @@ def test_index_recall(spark, sf, tmp_path):
     assert hit / sum(map(len, exact.values())) >= 0.9
 
 
+def test_index_answers_every_query(spark, sf, tmp_path):
+    from loomline.plans import registry
+
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = v.where("vec_id % 100 = 0").collect()
+    got: dict[int, list] = {}
+    for r in registry.queries()["vector_index"](spark, sf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.item_id, r.score))
+    assert set(got) == {r.vec_id for r in q} and len(got) > 1
+    modeling.save_index(v, str(tmp_path / "i"), "vec_id", "embedding")
+    for r in q:
+        one = modeling.query_index(spark, str(tmp_path / "i"), list(r.embedding), 10).collect()
+        assert got[r.vec_id] == [(i + 1, x.id, x.score) for i, x in enumerate(one)]
+
+
 def test_expectation_matches_simulation(spark):
     r, alpha, a, b = 0.8, 4.0, 1.8, 2.5
     want = modeling.generate_bgnbd(spark, 20000, 30.0, r, alpha, a, b, 1).agg(F.avg("frequency")).first()[0]
