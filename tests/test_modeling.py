@@ -65,6 +65,19 @@ def test_knuth_and_intervals(spark):
     assert math.isclose(sum(got.values()), 5.0) and math.isclose(got[1], 1.5)
 
 
+def test_knuth_measures_every_number_of_bins(spark, monkeypatch):
+    def best(x, most):
+        n, lg = len(x), np.vectorize(math.lgamma)
+        score = lambda m: n * math.log(m) + math.lgamma(m / 2) - m * math.lgamma(0.5) - math.lgamma(n + m / 2) + float(lg(np.histogram(x, np.linspace(x.min(), x.max(), m + 1))[0] + 0.5).sum())
+        return max(range(1, most + 1), key=lambda m: (score(m), -m))
+
+    monkeypatch.setattr(modeling, "CELLS", 20_000, raising=False)
+    rng = np.random.default_rng(1)
+    for x, over in ((rng.normal(size=3000), 0), (np.concatenate([rng.normal(0, 1, 3000), rng.normal(400, 1, 3000)]), 200)):
+        want = best(x, 1500)
+        assert want > over and modeling.knuth_bins(spark.createDataFrame([(float(v),) for v in x], "x double"), "x") == want
+
+
 def test_pack_and_merge(spark):
     df = spark.createDataFrame([(1, ["aa", "bb", "cccccccc", "d"]), (2, [])], "k int, p array<string>")
     got = [(r.chunk_index, r.chunk) for r in chunking.pack_parts(df, "k", F.col("p"), 5).collect()]
