@@ -8,9 +8,9 @@ documents are counted by exact token length, each length gives its proportional
 number, the budget that is left is filled by bounded-knapsack dynamic programming
 over the remaining counts, and seeded documents are then drawn by length.
 
-Only documents of at most LONGEST tokens are counted by length (so the counts
-are bounded, whatever the collection); longer ones enter a partial pass by a
-seeded draw, whose exact size is known before the others are fitted.
+Every length is counted, however long the document. The counts come to the
+driver; distinct lengths add up to no more than the tokens of their source, so a
+source of T tokens has at most sqrt(2 T) of them.
 """
 
 from __future__ import annotations
@@ -18,58 +18,86 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, spread
 from .corpus import rank_within, table
 from .tokens import count_tokens
 
-LONGEST = 16_384
-#: Tokens of budget that dynamic programming fills.
+#: Tokens of budget that dynamic programming fills, or twice the longest length if that is more.
 EXACT = 1 << 16
-DRAW = 1 << 30
+#: Rows of the plan up to which it is broadcast.
+SMALL_PLAN = 100_000
+SALTS = 32
 
 
-def fill_exactly(counts: dict[int, int], budget: int, seed: int = 0) -> dict[int, int]:
-    """Numbers of items by length, within ``counts``, whose lengths add up to ``budget`` or to the largest sum below it that was reached."""
-    total = sum(n * c for n, c in counts.items())
-    if budget >= total:
-        return dict(counts)
-    if budget <= 0:
-        return {}
-    share = budget / total
-    took = {n: int(c * share) for n, c in counts.items()}
-    left = budget - sum(n * c for n, c in took.items())
-    # the rounding's rest: long lengths first, until it is small enough for the table of sums
+def in_proportion(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """Numbers by length that follow ``counts`` in proportion and stay within ``budget``.
+
+    Lengths are taken from the longest down, and what rounding leaves of one is
+    carried to the next, so that no range of lengths is favoured.
+    """
+    share = budget / max(1, sum(n * c for n, c in counts.items()))
+    took: dict[int, int] = {}
+    aim, given = 0.0, 0
     for n in sorted(counts, reverse=True):
-        if left <= EXACT:
-            break
-        more = min(counts[n] - took[n], (left - EXACT) // n + 1, left // n)
-        if more > 0:
-            took[n] += more
-            left -= more * n
-    order = [n for n in counts if n <= left and counts[n] > took[n]]
-    random.Random(seed).shuffle(order)
-    reach, mask = 1, (1 << (left + 1)) - 1
-    steps: list[tuple[int, int, int]] = []
-    for n in order:
-        free, k = min(counts[n] - took[n], left // n), 1
-        while free > 0 and not reach >> left & 1:
+        aim += share * n * counts[n]
+        took[n] = max(0, min(counts[n], int((min(aim, budget) - given) // n)))
+        given += took[n] * n
+    return took
+
+
+def largest_sum(items: list[tuple[int, int]], limit: int) -> dict[int, int]:
+    """Numbers by length, within the (length, number) items, whose lengths add up to the largest sum up to ``limit`` that there is.
+
+    Sums are the bits of one integer; for every sum the step that reached it
+    first is kept, and steps are followed back from the largest one.
+    """
+    full = (1 << (limit + 1)) - 1
+    reach, steps = 1, []
+    first = np.zeros(limit + 1, np.int32)
+    for n, free in items:
+        k = 1
+        while free > 0 and not reach >> limit & 1:
             k = min(k, free)
-            new = (reach | reach << (k * n)) & mask
-            if new != reach:
-                steps.append((n, k, reach))
-                reach = new
+            if k * n > limit:
+                break
+            fresh = reach << (k * n) & full & ~reach
+            if fresh:
+                raw = np.frombuffer(fresh.to_bytes(limit // 8 + 1, "little"), np.uint8)
+                first[np.flatnonzero(np.unpackbits(raw, bitorder="little"))] = len(steps)
+                steps.append((n, k))
+                reach |= fresh
             free -= k
             k *= 2
-        if reach >> left & 1:
-            break
+    out: dict[int, int] = {}
     at = reach.bit_length() - 1
-    for n, k, before in reversed(steps):
-        if not before >> at & 1:
-            took[n] += k
-            at -= k * n
+    while at > 0:
+        n, k = steps[first[at]]
+        out[n] = out.get(n, 0) + k
+        at -= n * k
+    return out
+
+
+def fill_exactly(counts: dict[int, int], budget: int, seed: int = 0) -> dict[int, int]:
+    """Numbers of items by length, within ``counts``, whose lengths add up to ``budget`` or to the largest sum below it that the last ``EXACT`` tokens allow.
+
+    A budget within that window is always met as closely as the lengths allow.
+    """
+    counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
+    if budget >= sum(n * c for n, c in counts.items()):
+        return counts
+    if budget <= 0:
+        return {}
+    window = min(budget, max(EXACT, 2 * max(counts)))
+    took = in_proportion(counts, budget - window)
+    left = budget - sum(n * c for n, c in took.items())
+    order = sorted(n for n in counts if n <= left and counts[n] > took[n])
+    random.Random(seed).shuffle(order)
+    for n, k in largest_sum([(n, min(counts[n] - took[n], left // n)) for n in order], left).items():
+        took[n] += k
     return {n: c for n, c in took.items() if c}
 
 
@@ -110,63 +138,83 @@ def mix(docs: DataFrame, targets: list[tuple[str, str, float, int]], seed: int =
     """
     docs = docs.where("n_tokens > 0 and source is not null").select("doc_id", "source", "n_tokens")
     docs = materialise(docs.where(F.col("source").isin(sorted({t[1] for t in targets}))), "mixable")
-    short = F.col("n_tokens") <= LONGEST
-    counted = docs.groupBy("source", F.when(short, F.col("n_tokens")).alias("length")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()
-    sizes: dict[str, int] = {}
+    counted = docs.groupBy("source", "n_tokens").agg(F.count("*").alias("n")).toArrow().to_pydict()
     by_length: dict[str, dict[int, int]] = {}
-    long_size: dict[str, int] = {}
-    for r in counted:
-        sizes[r.source] = sizes.get(r.source, 0) + r.t
-        if r.length is None:
-            long_size[r.source] = r.t
-        else:
-            by_length.setdefault(r.source, {})[r.length] = r.n
-    parts = quotas(targets, sizes)
-    spark = docs.sparkSession
-    # long documents of partial passes: a seeded draw in proportion
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(DRAW))
-    cut = {(p.mix_id, p.source): int(DRAW * p.partial / sizes[p.source]) for p in parts if p.partial and long_size.get(p.source)}
-    long_docs = docs.where(~short).withColumn("_d", draw)
-    plan = spark.createDataFrame([(p.mix_id, p.source, p.passes, cut.get((p.mix_id, p.source), 0)) for p in parts if p.quota], "mix_id string, source string, passes long, cut long")
-    long_got = long_docs.join(F.broadcast(plan), "source").withColumn("repeats", F.col("passes") + (F.col("_d") < F.col("cut")).cast("long"))
-    drawn = {(r.mix_id, r.source): r.t for r in long_got.where("_d < cut").groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("t")).collect()} if cut else {}
+    for s, n, c in zip(counted["source"], counted["n_tokens"], counted["n"]):
+        by_length.setdefault(s, {})[n] = c
+    sizes = {s: sum(n * c for n, c in own.items()) for s, own in by_length.items()}
     takes = []
-    for p in parts:
+    for p in quotas(targets, sizes):
         if p.quota:
-            want = p.partial - drawn.get((p.mix_id, p.source), 0)
-            got = fill_exactly(by_length.get(p.source, {}), want, seed)
-            takes += [(p.mix_id, p.source, n, p.passes, got.get(n, 0)) for n in by_length.get(p.source, {}) if p.passes or got.get(n)]
-    # at most LONGEST rows for each target
-    take = spark.createDataFrame(takes, "mix_id string, source string, n_tokens long, passes long, take long")
-    ranked = rank_within(docs.where(short), ["source", "n_tokens"], ["doc_id"], sum(r.n for r in counted))
-    short_got = ranked.join(take, ["source", "n_tokens"]).withColumn("repeats", F.col("passes") + (F.col("rank") < F.col("take")).cast("long"))
-    cols = ["mix_id", "doc_id", "source", "n_tokens", "repeats"]
-    return short_got.select(*cols).unionByName(long_got.select(*cols)).where("repeats > 0")
+            own = by_length[p.source]
+            got = fill_exactly(own, p.partial, seed)
+            takes += [(p.mix_id, p.source, n, p.passes, got.get(n, 0)) for n in own if p.passes or got.get(n)]
+    names = "mix_id string, source string, n_tokens long, passes long, take long"
+    take = docs.sparkSession.createDataFrame(takes, names)
+    ranked = rank_within(docs, ["source", "n_tokens"], ["doc_id"], sum(counted["n"]))
+    if len(takes) <= SMALL_PLAN:
+        got = ranked.join(F.broadcast(take), ["source", "n_tokens"])
+    else:
+        # a length may hold a third of all rows: its rows are dealt out over salts
+        salted = take.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        ranked = ranked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        got = ranked.join(salted, ["source", "n_tokens", "salt"])
+    repeats = F.col("passes") + (F.col("rank") < F.col("take")).cast("long")
+    return got.select("mix_id", "doc_id", "source", "n_tokens", repeats.alias("repeats")).where("repeats > 0")
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, float, int]]:
-    """mix_targets is a fixed table of 19 rows; rows without a mix or source aim at nothing."""
-    rows = table(spark, sf_dir, "mix_targets").limit(10_000).collect()
-    return [(r.mix_id, r.source.strip().lower(), r.target_share, r.max_repeats) for r in rows if r.mix_id is not None and r.source is not None]
+    """mix_targets is a fixed table; rows without a mix or source aim at nothing."""
+    rows = table(spark, sf_dir, "mix_targets").where("mix_id is not null and source is not null").collect()
+    return [(r.mix_id, r.source.strip().lower(), r.target_share, r.max_repeats) for r in rows]
 
 
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each mix with their repeats."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "text"))
-    wanted = sorted({t[1] for t in _targets(spark, sf_dir)})
-    return mix(count_tokens(docs.where(F.col("source").isin(wanted))), _targets(spark, sf_dir))
+    targets = _targets(spark, sf_dir)
+    wanted = sorted({t[1] for t in targets})
+    return mix(count_tokens(docs.where(F.col("source").isin(wanted))), targets)
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each target: the share asked for, among all and among the sources that exist, and the share, tokens and repeats reached."""
-    got = p8_selection(spark, sf_dir).groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("repeats"))
+    tokens = F.sum(F.col("n_tokens") * F.col("repeats"))
+    got = p8_selection(spark, sf_dir).groupBy("mix_id", "source").agg(tokens.alias("n_tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("repeats"))
     t = table(spark, sf_dir, "mix_targets").select("mix_id", F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats")
     full = F.broadcast(t).join(got, ["mix_id", "source"], "left").na.fill(0, ["n_tokens", "n_docs", "repeats"])
-    from pyspark.sql import Window
-
     w = Window.partitionBy("mix_id")
     live = F.when(F.col("n_tokens") > 0, F.col("target_share"))
-    return full.select("mix_id", "source", (F.col("target_share") / F.sum("target_share").over(w)).alias("target_share"), (live / F.sum(live).over(w)).alias("target_among_present"), (F.col("n_tokens") / F.greatest(F.sum("n_tokens").over(w), F.lit(1))).alias("actual_share"), "n_tokens", "n_docs", "repeats", "max_repeats")
-
-
-QUERIES = {"p8_selection": p8_selection, "p8_shares": p8_shares}
+    return full.select(
+        "mix_id",
+        "source",
+        (F.col("target_share") / F.sum("target_share").over(w)).alias("target_share"),
+        (live / F.sum(live).over(w)).alias("target_among_present"),
+        (F.col("n_tokens") / F.greatest(F.sum("n_tokens").over(w), F.lit(1))).alias("actual_share"),
+        "n_tokens",
+        "n_docs",
+        "repeats",
+        "max_repeats",
+    )
+
+
+def p8_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target whether its source has texts, how many, and its share among the sources of the mix that have."""
+    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
+    n = docs.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count("*").alias("n_available"))
+    t = table(spark, sf_dir, "mix_targets").select("mix_id", F.lower(F.trim("source")).alias("source"), "target_share")
+    full = F.broadcast(t).join(n, "source", "left").na.fill(0, ["n_available"])
+    live = F.when(F.col("n_available") > 0, F.col("target_share"))
+    share = live / F.sum(live).over(Window.partitionBy("mix_id"))
+    return full.select("mix_id", "source", "n_available", share.alias("share_among_present"))
+
+
+ORACLE = {
+    "p8_present": """
+        with n as (select lower(trim(source)) as source, count(*) as n_available from documents where length(text) > 0 group by 1),
+        t as (select mix_id, lower(trim(m.source)) as source, target_share, coalesce(n_available, 0) as n_available
+              from mix_targets m left join n on n.source = lower(trim(m.source)))
+        select mix_id, source, n_available, case when n_available > 0 then target_share end
+               / sum(case when n_available > 0 then target_share end) over (partition by mix_id) as share_among_present from t""",
+}
+QUERIES = {"p8_selection": p8_selection, "p8_shares": p8_shares, "p8_present": p8_present}

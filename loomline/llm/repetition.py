@@ -1,17 +1,19 @@
 """Repeated content inside a document.
 
 A document's score is the length-normalised log-likelihood ratio of its hashed
-n-gram events between two multinomials: the raw corpus and a trusted target (the
-documents that repeat nothing). An event is the hash bucket of an eight-word
-window together with whether the same window started earlier in the document.
-Repeated windows have next to no mass in the target, so repetition drives the
-score up. Both multinomials are counted over all documents.
-
-The exact share is measured in the same pass for every document in which any
-window repeats, and is 0 elsewhere; it alone decides what p9_found returns. The
-score stands beside it: the model's threshold for a share is a lower bound, so
-no document with that share scores below it. Texts are read once: the pass keeps
-each document's events.
+n-gram events between two multinomials: the raw corpus and a trusted target. An
+event is the hash bucket of an eight-word window together with whether the same
+window started earlier in the document. The trusted target is the corpus as it
+would read with each sentence of a document said once: windows that touch a
+sentence that the document already had are left out. Repeated windows have
+little mass there, so repetition drives the score up. Both multinomials are
+counted over all documents.
+
+A document with a share s of repeated words has at least s/8 of its windows
+repeated, so the model gives a threshold that no such document falls below. The
+score decides which documents can have the share asked for; only those are
+measured exactly. Texts are read once: the pass keeps each document's events,
+and the words of documents in which any hashed window comes again.
 """
 
 from __future__ import annotations
@@ -31,13 +33,17 @@ from .corpus import texts_of
 
 N = 8
 FRESH_BUCKETS = 4096
-AGAIN_BUCKETS = 64
+AGAIN_BUCKETS = 4
+#: Marks an event that touches a sentence said before, and so is not of the target.
+SAID = 1 << 15
 ALPHA = 0.1
 _CJK = "぀-ヿ㐀-鿿"
 _WORD = regex.compile(rf"[{_CJK}]|(?:(?![{_CJK}])[\p{{L}}\p{{N}}])+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _DIGITS = regex.compile(r"\p{N}+")
 _ASCII_DIGITS = re.compile(r"[0-9]+")
+_SENTENCE = re.compile(r"(?<=[.!?…؟])(?=\s)|(?<=[。！？\n])")
+_NUMBERS = re.compile(r"[0-9]+(?:[.,:][0-9]+)*")
 
 
 def words(text: str | None) -> list[str]:
@@ -87,6 +93,20 @@ def events(h: np.ndarray, again: np.ndarray) -> np.ndarray:
     return np.where(again, FRESH_BUCKETS + (top % np.uint64(AGAIN_BUCKETS)).astype(np.int64), (top % np.uint64(FRESH_BUCKETS)).astype(np.int64))
 
 
+def said_before(text: str) -> np.ndarray | None:
+    """By word: whether it is in a sentence that the text already had (whatever its numbers); None if there is none."""
+    seen: set[str] = set()
+    parts, old = [], []
+    for part in _SENTENCE.split(text):
+        k = _NUMBERS.sub("0", part.lower()).strip(" \t\r\n.!?")
+        parts.append(part)
+        old.append(bool(k) and k in seen)
+        seen.add(k)
+    if not any(old):
+        return None
+    return np.repeat(old, [len(words(x)) for x in parts])
+
+
 def repeated_share(ws: list[str]) -> float:
     """The exact share of words in a window of eight that also starts at an earlier word."""
     if len(ws) < N + 1:
@@ -117,7 +137,7 @@ def _slices(texts: list[str | None], limit: int = 1 << 19):
 
 @dataclass
 class RepetitionModel:
-    """Log ratio of each event bucket and what follows for thresholds."""
+    """Log ratio of each event bucket, and the least ones of repeated and of fresh windows that the corpus has."""
 
     ratio: np.ndarray
     again_least: float
@@ -129,29 +149,33 @@ class RepetitionModel:
         p = (raw + ALPHA) / (raw.sum() + ALPHA * size)
         q = (target + ALPHA) / (target.sum() + ALPHA * size)
         ratio = np.log(p / q)
-        seen = raw > 0
-        fresh, again = seen.copy(), seen.copy()
-        fresh[FRESH_BUCKETS:] = False
-        again[:FRESH_BUCKETS] = False
-        return cls(ratio, float(ratio[again].min()) if again.any() else math.inf, float(min(0, ratio[fresh].min())) if fresh.any() else 0.0)
+        again, fresh = ratio[FRESH_BUCKETS:][raw[FRESH_BUCKETS:] > 0], ratio[:FRESH_BUCKETS][raw[:FRESH_BUCKETS] > 0]
+        return cls(ratio, float(again.min()) if len(again) else math.inf, float(fresh.min()) if len(fresh) else 0.0)
 
     def threshold(self, share: float) -> float:
         """No document with at least this share of repeated words scores lower."""
+        if share <= 0:
+            return -math.inf
         if math.isinf(self.again_least):
             return math.inf
         k = share / N
-        return k * min(self.again_least, 1e9) + (1 - k) * self.fresh_least if self.again_least > self.fresh_least else -math.inf
+        bound = k * self.again_least + (1 - k) * self.fresh_least
+        # where repeated windows may weigh less than fresh ones, more of them lower the bound
+        return min(bound, self.again_least)
+
+    def score(self, events_: np.ndarray) -> float:
+        return float(self.ratio[events_ & (SAID - 1)].mean()) if len(events_) else 0.0
 
 
 def scan_repetition(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, events, exact_share): the one pass over the texts. ``events`` has the buckets of all windows as 16-bit numbers; ``exact_share`` is measured where any window repeats, and 0 elsewhere."""
+    """(key, n_words, events, said): the one pass over the texts. ``events`` has the buckets of all windows as 16-bit numbers; ``said`` is the text where any hashed window comes again, else null."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         ids = _Ids()
         for b in batches:
             texts = b.column(1).to_pylist()
-            count, events_, exact = np.zeros(len(texts), np.int64), [b""] * len(texts), np.zeros(len(texts))
+            count, events_, said = np.zeros(len(texts), np.int64), [b""] * len(texts), [None] * len(texts)
             for a, z in _slices(texts):
                 if len(ids) > 300_000:
                     ids.clear()
@@ -160,56 +184,72 @@ def scan_repetition(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 e = events(h, again).astype("<u2")
                 edges = np.searchsorted(doc, np.arange(z - a + 1))
                 count[a:z] = [len(d) for d in docs]
-                for i in range(z - a):
-                    events_[a + i] = e[edges[i] : edges[i + 1]].tobytes()
                 for i in np.unique(doc[again]):
-                    exact[a + i] = repeated_share(docs[i])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(events_, pa.binary()), pa.array(exact)], names=[key, "n_words", "events", "exact_share"])
+                    said[a + i] = texts[a + i]
+                for i in range(z - a):
+                    own = e[edges[i] : edges[i + 1]]
+                    old = said_before(texts[a + i]) if len(own) else None
+                    if old is not None:
+                        touched = np.concatenate(([0], np.cumsum(old)))
+                        own = np.where(touched[N:] > touched[: len(own)], own | SAID, own).astype("<u2")
+                    events_[a + i] = own.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(count), pa.array(events_, pa.binary()), pa.array(said, pa.string())],
+                names=[key, "n_words", "events", "said"],
+            )
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words long, events binary, exact_share double")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words long, events binary, said string")
 
 
 def fit_repetition(scanned: DataFrame) -> RepetitionModel:
     """Counts the events of all rows; partitions send at most a few thousand partial counts each."""
+    size = FRESH_BUCKETS + AGAIN_BUCKETS
 
     def count(batches):
-        size = FRESH_BUCKETS + AGAIN_BUCKETS
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
                 if x:
-                    e = np.bincount(np.frombuffer(x, "<u2"), minlength=size)
-                    raw += e
-                    if not e[FRESH_BUCKETS:].any():
-                        target += e
+                    e = np.frombuffer(x, "<u2")
+                    raw += np.bincount(e & (SAID - 1), minlength=size)
+                    target += np.bincount(e[e < SAID], minlength=size)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
-    got = scanned.select("events").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    raw, target = np.zeros(FRESH_BUCKETS + AGAIN_BUCKETS), np.zeros(FRESH_BUCKETS + AGAIN_BUCKETS)
-    for r in got:
+    parts = scanned.select("events").mapInArrow(count, "bucket int, raw long, target long")
+    raw, target = np.zeros(size), np.zeros(size)
+    for r in parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     return RepetitionModel.of_counts(raw, target)
 
 
-def measure_repetition(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def measure_repetition(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.0) -> DataFrame:
     """(key, n_words, repetition_score, repeated_share) of each row.
 
-    ``repeated_share`` is exact for every row, 0 where nothing repeats. Null and
-    empty texts have no words, score 0 and share 0.
+    The score rules out documents below ``least``: their share is null. It is
+    exact for all others, so with 0 it is known for every row. Null and empty
+    texts have no words, score 0 and share 0.
     """
     scanned = materialise(scan_repetition(df, key, text), "repetition")
-    shared = df.sparkSession.sparkContext.broadcast(fit_repetition(scanned))
+    model = fit_repetition(scanned)
+    shared = df.sparkSession.sparkContext.broadcast((model, model.threshold(least)))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        m = shared.value
+        m, bound = shared.value
         for b in batches:
-            e = [np.frombuffer(x or b"", "<u2") for x in b.column(2).to_pylist()]
-            score = np.array([m.ratio[x].mean() if len(x) else 0.0 for x in e])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), b.column(3)], names=[key, "n_words", "repetition_score", "repeated_share"])
+            score = np.array([m.score(np.frombuffer(x or b"", "<u2")) for x in b.column(2).to_pylist()])
+            share = [None] * b.num_rows
+            for i in np.flatnonzero(score >= bound):
+                t = b.column(3)[i].as_py()
+                share[i] = repeated_share(words(t)) if t is not None else 0.0
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array(share, pa.float64())],
+                names=[key, "n_words", "repetition_score", "repeated_share"],
+            )
 
-    return scanned.select(key, "n_words", "events", "exact_share").mapInArrow(run, f"`{key}` {kind}, n_words long, repetition_score double, repeated_share double")
+    out = f"`{key}` {kind}, n_words long, repetition_score double, repeated_share double"
+    return scanned.select(key, "n_words", "events", "said").mapInArrow(run, out)
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,8 +258,8 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with at least 30 % repeated words."""
-    return p9_scores(spark, sf_dir).where("repeated_share >= 0.3").select("doc_id")
+    """Documents with at least 30 % repeated words: those that reach the score's threshold for it, measured."""
+    return measure_repetition(texts_of(spark, sf_dir), least=0.3).where("repeated_share >= 0.3").select("doc_id")
 
 
 ORACLE = {

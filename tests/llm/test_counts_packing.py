@@ -73,9 +73,36 @@ def test_fill_exactly_against_brute_force():
         got = mixing.fill_exactly(counts, want, 1)
         assert all(0 <= got.get(n, 0) <= counts[n] for n in counts) and set(got) <= set(counts)
         total = sum(n * c for n, c in got.items())
-        assert total <= want and want - total <= max(counts)
-        if total < want and want <= sum(items):
-            assert total in sums
+        assert total == max(s for s in sums if s <= want)
+
+
+def test_long_lengths_are_fitted_like_short_ones():
+    assert mixing.fill_exactly({20_000: 40, 7: 20}, 30_000) == {20_000: 1, 7: 20}
+    huge = {1_000_000: 3, 70_000: 5, 900: 400}
+    for budget in (10, 900, 69_999, 1_360_000, 2_400_000):
+        got = mixing.fill_exactly(huge, budget)
+        assert all(got[n] <= huge[n] for n in got)
+        assert 0 <= budget - sum(n * c for n, c in got.items()) < 900
+
+
+def test_proportion_favours_no_length():
+    counts = {n: 50 for n in range(1, 2001, 7)}
+    total = sum(n * c for n, c in counts.items())
+    got = mixing.fill_exactly(counts, total // 2, 5)
+    assert sum(n * c for n, c in got.items()) == total // 2
+    for low in range(1, 2001, 500):
+        part = [n for n in counts if low <= n < low + 500]
+        assert abs(sum(got.get(n, 0) for n in part) / sum(counts[n] for n in part) - 0.5) < 0.08
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_mix_with_huge_documents(spark, seed):
+    rows = [(i, "a", 20_000) for i in range(40)] + [(100 + i, "a", 7) for i in range(20)] + [(200 + i, "b", 50) for i in range(600)]
+    df = spark.createDataFrame(rows + [(999, "c", 300_000)], "doc_id long, source string, n_tokens long")
+    total = {}
+    for r in mixing.mix(df, [("m", "a", 1.0, 1), ("m", "b", 1.0, 1), ("n", "b", 1.0, 1), ("n", "c", 10.0, 1)], seed).collect():
+        total[r.mix_id, r.source] = total.get((r.mix_id, r.source), 0) + r.n_tokens * r.repeats
+    assert total == {("m", "a"): 20_140, ("m", "b"): 30_000, ("n", "b"): 30_000, ("n", "c"): 300_000}
 
 
 def test_mix_reaches_shares(spark):
@@ -216,3 +243,19 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (200, 200)]
     got = {r.node: r.component for r in neardup.components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_score_decides_what_is_measured(spark, sf):
+    docs = corpus_texts(spark, sf)
+    every = {r.doc_id: r for r in repetition.measure_repetition(docs).collect()}
+    gated = {r.doc_id: r for r in repetition.measure_repetition(docs, least=0.3).collect()}
+    true = {i for i, r in every.items() if r.repeated_share >= 0.3}
+    passed = {i for i, r in gated.items() if r.repeated_share is not None}
+    assert true and true <= passed
+    assert len(passed) < 0.15 * len(every) and len(true) / len(passed) > 0.3
+    assert min(every[i].repetition_score for i in true) > max(r.repetition_score for i, r in every.items() if i not in passed)
+
+
+def corpus_texts(spark, sf):
+    return spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
