@@ -3,12 +3,16 @@
 Each capacity gets a packing of all documents: a document above the capacity is
 cut into full boxes and a rest; no other one is cut. Lengths are integers up to
 the capacity, so the collection, whatever its size, is a histogram of at most
-``capacity`` counts. On it the packing is planned as patterns with
-multiplicities: lengths belong to context-size tiers (the capacity, its half, its
-quarter and so on), each tier's boxes are opened with its own longest pieces, and
-the gaps of long boxes are filled from shorter tiers. The pieces then take their
-places by their number among the pieces of their length. Boxes of one pattern are
-dealt out over step groups in turn, so that groups hold nearly equal work.
+``capacity`` counts, on which the packing is planned as patterns with
+multiplicities. Documents are routed to context-size tiers (the capacity, its
+half, its quarter and so on). From the longest tier on, a box opens with the
+longest piece and takes the pieces of its own tier that fill it most; the gap
+that stays is filled from shorter tiers in the same way. The pieces take their
+places by their number among the pieces of their length.
+
+Boxes are numbered by load, the fullest first and among these the ones with most
+attention work (sum of squared lengths), and dealt out over step groups to and
+fro, so that groups are equal in boxes, tokens and work.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from ..session import materialise
 from .corpus import rank_within, table, texts_of
 from .tokens import count_tokens
 
-STEP_BOXES = 64
+#: Boxes of a step group, at least; a group has one box more than another at most.
+STEP_BOXES = 128
 
 
 def tiers(capacity: int, least: int = 16) -> list[int]:
@@ -35,37 +40,61 @@ def tiers(capacity: int, least: int = 16) -> list[int]:
     return out
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(number of boxes, pieces by length) patterns that use up the histogram ``counts`` (index: length)."""
+def fullest(free: np.ndarray, space: int, low: int, top: int) -> Counter:
+    """Pieces longer than ``low`` and at most ``top`` of the histogram ``free`` with the largest sum up to ``space``.
+
+    Sums are the bits of one integer, long pieces come first, and the search ends when the space is filled.
+    """
+    full = (1 << (space + 1)) - 1
+    reach, steps = 1, []
+    for n in (np.flatnonzero(free[low + 1 : min(top, space) + 1])[::-1] + low + 1).tolist():
+        k, rest = 1, min(int(free[n]), space // n)
+        while rest > 0:
+            k = min(k, rest)
+            now = reach | reach << (k * n) & full
+            if now != reach:
+                steps.append((n, k, reach))
+                reach = now
+            rest -= k
+            k *= 2
+        if reach >> space & 1:
+            break
+    used: Counter[int] = Counter()
+    at = reach.bit_length() - 1
+    for n, k, before in reversed(steps):
+        if not before >> at & 1:
+            used[n] += k
+            at -= k * n
+    return used
+
+
+def plan(counts: np.ndarray, capacity: int, bounds: list[int] | None = None) -> list[tuple[int, dict[int, int]]]:
+    """(number of boxes, pieces by length) patterns that use up the histogram ``counts`` (index: length), the greatest load first.
+
+    ``bounds`` are the context sizes, the longest first.
+    """
     left = counts.astype(np.int64).copy()
     left[0] = 0
     out: list[tuple[int, dict[int, int]]] = []
-    bounds = tiers(capacity)
-    # next lower length that is still there, found by walking down a sorted list
+    bounds = bounds or tiers(capacity)
     for k, top in enumerate(bounds):
         low = bounds[k + 1] if k + 1 < len(bounds) else 0
         for opener in range(top, low, -1):
             while left[opener] > 0:
-                used: Counter[int] = Counter({opener: 1})
+                left[opener] -= 1
                 space = capacity - opener
-                at = min(space, opener)
-                while space > 0 and at > 0:
-                    at = min(at, space)
-                    here = np.flatnonzero(left[1 : at + 1])
-                    if not len(here):
-                        break
-                    at = int(here[-1]) + 1
-                    take = min(int(left[at]) - used[at], space // at)
-                    if take <= 0:
-                        at -= 1
-                        continue
-                    used[at] += take
-                    space -= take * at
+                used = fullest(left, space, low, opener)
+                space -= sum(n * u for n, u in used.items())
+                if space and low:
+                    used += fullest(left, space, 0, low)
+                used[opener] += 1
+                left[opener] += 1
                 boxes = min(int(left[n]) // u for n, u in used.items())
                 for n, u in used.items():
                     left[n] -= boxes * u
                 out.append((boxes, dict(used)))
-    return out
+    load = lambda p: (sum(n * u for n, u in p[1].items()), sum(n * n * u for n, u in p[1].items()))
+    return sorted(out, key=load, reverse=True)
 
 
 def slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
@@ -103,7 +132,7 @@ def pack(lengths: DataFrame, capacities: dict[str, int], key: str = "doc_id", si
                 counts[r.token_count] = r["count"]
         patterns = plan(counts, c)
         found[b] = slots(patterns)
-        groups[b] = max(1, -(-sum(n for n, _ in patterns) // STEP_BOXES))
+        groups[b] = max(1, sum(n for n, _ in patterns) // STEP_BOXES)
     total = sum(r["count"] for r in seen)
     ranked = rank_within(pieces.where("token_count > 0"), ["box_id", "token_count"], [key, "piece_no"], total)
     shared = lengths.sparkSession.sparkContext.broadcast((found, groups))
@@ -122,7 +151,8 @@ def pack(lengths: DataFrame, capacities: dict[str, int], key: str = "doc_id", si
                 r = rank[at]
                 k = np.searchsorted(t[:, 0], r, side="right") - 1
                 box[at] = t[k, 1] + (r - t[k, 0]) // t[k, 2]
-                group[at] = box[at] % n_groups[x]
+                turn, seat = np.divmod(box[at], n_groups[x])
+                group[at] = np.where(turn % 2 == 0, seat, n_groups[x] - 1 - seat)
             yield pa.RecordBatch.from_arrays([d["box_id"], pa.array(box), pa.array(group), d[key], d["piece_no"], d["token_start"], d["token_count"]], names=["box_id", "box_no", "step_group", key, "piece_no", "token_start", "token_count"])
 
     cols = ["box_id", key, "piece_no", "token_start", "token_count", "rank"]
@@ -133,8 +163,9 @@ def pack(lengths: DataFrame, capacities: dict[str, int], key: str = "doc_id", si
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
-    """box_capacities is a fixed table of 3 rows."""
-    return {r.box_id: r.capacity_tokens for r in table(spark, sf_dir, "box_capacities").limit(1000).collect() if r.box_id is not None and (r.capacity_tokens or 0) > 0}
+    """box_capacities is a fixed table."""
+    rows = table(spark, sf_dir, "box_capacities").where("box_id is not null and capacity_tokens > 0").collect()
+    return {r.box_id: r.capacity_tokens for r in rows}
 
 
 def p7_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,12 +175,14 @@ def p7_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes used of each capacity, tokens in them, the fewest boxes that could hold them, and the unevenness of step groups."""
+    """Boxes used of each capacity, tokens in them, the fewest boxes that could hold them, and how far the largest step group is above the mean in tokens and in work."""
     got = materialise(p7_boxes(spark, sf_dir).where("box_no is not null"), "boxes")
     caps = table(spark, sf_dir, "box_capacities")
     one = got.groupBy("box_id").agg((F.max("box_no") + 1).alias("n_boxes"), F.sum("token_count").alias("n_tokens"), F.count("*").alias("n_pieces"))
-    steps = got.groupBy("box_id", "step_group").agg(F.sum("token_count").alias("t")).groupBy("box_id").agg((F.max("t") / F.avg("t")).alias("step_unevenness"))
-    return one.join(F.broadcast(caps), "box_id").join(steps, "box_id").select("box_id", "n_boxes", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_boxes"), "n_tokens", "n_pieces", "step_unevenness")
+    work = F.sum(F.col("token_count") * F.col("token_count"))
+    each = got.groupBy("box_id", "step_group").agg(F.sum("token_count").alias("t"), work.alias("w"))
+    steps = each.groupBy("box_id").agg((F.max("t") / F.avg("t")).alias("step_unevenness"), (F.max("w") / F.avg("w")).alias("work_unevenness"))
+    return one.join(F.broadcast(caps), "box_id").join(steps, "box_id").select("box_id", "n_boxes", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_boxes"), "n_tokens", "n_pieces", "step_unevenness", "work_unevenness")
 
 
 QUERIES = {"p7_boxes": p7_boxes, "p7_fill": p7_fill}

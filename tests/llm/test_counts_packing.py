@@ -43,6 +43,35 @@ def test_plan_uses_everything_within_capacity(capacity):
     assert boxes <= 11 / 9 * max(least, int(counts[capacity // 2 + 1 :].sum())) + 1
 
 
+def skewed_lengths(seed, n, capacity):
+    rng = np.random.default_rng(seed)
+    lengths = np.minimum(capacity, np.maximum(1, rng.lognormal(np.log(capacity) - 2.2, 1.0, n).astype(int)))
+    return np.bincount(lengths, minlength=capacity + 1)
+
+
+@pytest.mark.parametrize("capacity", [1024, 4096])
+def test_tiers_use_fewer_boxes_than_one(capacity):
+    lengths = np.random.default_rng(0).integers(int(capacity * 0.12), int(capacity * 0.55), 3000)
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    many, one = packing.plan(counts, capacity), packing.plan(counts, capacity, [capacity])
+    boxes = sum(n for n, _ in many)
+    assert boxes < sum(n for n, _ in one)
+    assert boxes <= 1.02 * -(-int(lengths.sum()) // capacity)
+
+
+def test_step_groups_are_balanced(spark):
+    counts = skewed_lengths(1, 9000, 512)
+    rows = [(f"{n}-{i}", n) for n in np.flatnonzero(counts).tolist() for i in range(int(counts[n]))]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id string, n_tokens long"), {"b": 512}).collect()
+    tokens_of, boxes_of = {}, {}
+    for r in got:
+        tokens_of[r.step_group] = tokens_of.get(r.step_group, 0) + r.token_count
+        boxes_of.setdefault(r.step_group, set()).add(r.box_no)
+    assert len(tokens_of) > 4 and min(len(b) for b in boxes_of.values()) >= packing.STEP_BOXES
+    mean = sum(tokens_of.values()) / len(tokens_of)
+    assert all(abs(t / mean - 1) < 0.01 for t in tokens_of.values())
+
+
 def test_pack_frames(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([1, 5, 30, 64, 64, 200])) for i in range(300)] + [(1000, 0), (1001, None)]
