@@ -288,3 +288,36 @@ def test_the_score_decides_what_is_measured(spark, sf):
 
 def corpus_texts(spark, sf):
     return spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
+    from datetime import datetime
+
+    rng = random.Random(9)
+
+    def pairs_with(edits, n=60):
+        rows = []
+        for i in range(n):
+            ws = sentence(rng, 90).split()
+            rows.append((f"a{i}", datetime(2024, 1, 1), " ".join(ws)))
+            for k in range(edits):
+                ws[3 + k * (84 // max(1, edits))] = f"other{k}"
+            rows.append((f"b{i}", datetime(2024, 1, 1), " ".join(ws)))
+        return spark.createDataFrame(rows, "doc_id string, stored_at timestamp, text string")
+
+    close, far = [], []
+    assert neardup.near_duplicates(pairs_with(1), 120, report=close)[1].count() == 60
+    links = neardup.near_duplicates(pairs_with(7), 120, report=far)[1].count()
+    trees, least, length = neardup.plan_forest(120)
+    assert [r[0] for r in close] == [length] and close[0][2] >= neardup.TARGET
+    assert [r[0] for r in far] == [length, least]
+    assert far[0][1] < links and links >= 58 and far[0][2] < far[1][2]
+
+
+def test_labels_are_sorted_prefixes():
+    docs = [sentence(random.Random(i % 3), 40).split() for i in range(6)]
+    keys, _ = neardup.forest_keys(docs, neardup._Ids(), 5, 4)
+    longer, _ = neardup.forest_keys(docs, neardup._Ids(), 5, 4)
+    assert (keys == longer).all() and (keys[:3] == keys[3:]).all()
+    assert len({tuple(k) for k in keys.tolist()}) == 3
+    assert neardup.recall_at(0.6, *neardup.plan_forest(300_000)[1::-1]) >= neardup.RECALL
