@@ -9,6 +9,8 @@ the latest state: fixed-width verdicts are shuffled, texts are not.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from hashlib import sha1
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,14 +58,49 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows, and never more than twice as many, chosen by a hash of the key (independent of order and partitioning)."""
-    total = df.count()
-    if total <= rows:
-        return df
+def of_latest(spark: SparkSession, sf_dir: str, rows: DataFrame, *unique: str) -> DataFrame:
+    """Those of the rows (with doc_id and stored_at, made from any state) that come from the latest state of their doc_id, each once by ``unique``.
+
+    The latest states are found on two narrow columns, so only the rows given are shuffled, not the texts they come from.
+    """
+    last = table(spark, sf_dir, "corpus_documents").groupBy("doc_id").agg(F.max("stored_at").alias("stored_at"))
+    return rows.join(last, ["doc_id", "stored_at"]).dropDuplicates(list(unique))
+
+
+@dataclass
+class FitSample:
+    """Rows of the documents table to fit models on, in the order of a hash of their key."""
+
+    text: list[str]
+    lang: list[str | None]
+    section: list[str | None]
+
+
+#: Files that a sample is drawn from, at most.
+SAMPLE_FILES = 64
+
+
+def fit_sample(spark: SparkSession, sf_dir: str, rows: int = 5000, code: int = 200) -> FitSample:
+    """About ``rows`` whole documents, and about ``code`` of section type code, never more than twice as many together.
+
+    Rows are chosen by a hash of doc_id, in at most SAMPLE_FILES files chosen by
+    a hash of their names, so that a large table isn't read for a small sample.
+    Null texts are left out.
+    """
+    docs = table(spark, sf_dir, "documents")
+    files = docs.inputFiles()
+    if len(files) > SAMPLE_FILES:
+        files = sorted(files, key=lambda f: sha1(f.rsplit("/", 1)[-1].encode()).digest())[:SAMPLE_FILES]
+        docs = spark.read.schema(docs.schema).parquet(*files)
+    is_code = F.coalesce(F.col("section_type") == "code", F.lit(False))
+    n = docs.agg(F.count("*").alias("all"), F.count_if(is_code).alias("code")).first()
     buckets = 1 << 20
-    keep = max(1, int(buckets * rows / total))
-    return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)) < keep).limit(2 * rows)
+    cut = [buckets if m <= want else max(1, buckets * want // m) for m, want in ((n["all"], rows), (n["code"], code))]
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+    wanted = (bucket < cut[0]) | is_code & (bucket < cut[1])
+    got = docs.where(wanted & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "text", "lang", "section_type")
+    d = got.limit(2 * (rows + code)).toArrow().sort_by([("h", "ascending"), ("text", "ascending")]).to_pydict()
+    return FitSample(d["text"], d["lang"], d["section_type"])
 
 
 def texts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +118,8 @@ def language_label(label: Column, codes: dict[str, str]) -> Column:
 
 
 def language_names(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Every name of a language in lower case, with its iso_code; language_codes is a fixed table of 13 rows."""
-    rows = table(spark, sf_dir, "language_codes").select("iso_code", "iso3_code", "english_name").limit(1000).collect()
+    """Every name of a language in lower case, with its iso_code; language_codes is a fixed table."""
+    rows = table(spark, sf_dir, "language_codes").select("iso_code", "iso3_code", "english_name").collect()
     return {str(n).lower(): r.iso_code for r in rows for n in (r.iso_code, r.iso3_code, r.english_name) if n}
 
 

@@ -138,10 +138,12 @@ def token_budget(df: DataFrame, slices: list[str], text: str = "text", path: str
         pieces = b.column(0).to_pylist()
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(enc.encode_ordinary(p)) for p in pieces], pa.int64())], names=["piece", "length"])
 
-    # each distinct piece once; the frequencies keep their slices and meet the lengths by piece
-    distinct = parts.where("piece is not null").select("piece").distinct()
-    length = arrow_map(distinct, lengths, "piece string, length long")
-    many = parts.where("piece is not null").join(length, "piece").select(*names, (F.col("n") * F.col("length")).alias("n_tokens"), "n_docs", "n_chars")
+    # each distinct piece once; frequencies are summed by slice before they meet the lengths, so a frequent piece has one row a slice
+    pieces = parts.where("piece is not null").groupBy(*names, "piece").agg(F.sum("n").alias("n"))
+    pieces = materialise(pieces, "piece-counts")
+    length = arrow_map(pieces.select("piece").distinct(), lengths, "piece string, length long")
+    none = F.lit(0).cast("long")
+    many = pieces.join(length, "piece").select(*names, (F.col("n") * F.col("length")).alias("n_tokens"), none.alias("n_docs"), none.alias("n_chars"))
     one = parts.where("piece is null").select(*names, F.col("n").alias("n_tokens"), "n_docs", "n_chars")
     total = one.unionByName(many).groupBy(*names).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.sum("n_tokens").alias("n_tokens"))
     return total.select(*[F.col(n).alias(c) for n, c in zip(names, slices)], "n_docs", "n_chars", "n_tokens")
