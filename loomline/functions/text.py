@@ -56,8 +56,8 @@ def expand_ligatures(text: Column) -> Column:
 
 
 def join_hyphenated(text: Column) -> Column:
-    """Words that a line break split at a hyphen, joined again."""
-    return F.regexp_replace(text, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
+    """Words that a line break split at a hyphen, joined again: a hyphen after a letter or digit, one line break among blanks, and a letter or digit goes away with all between."""
+    return F.regexp_replace(text, r"(?<=[\p{L}\p{N}_])-[\p{Z}\s&&[^\n]]*\n[\p{Z}\s]*(?=[\p{L}\p{N}_])", "")
 
 
 def strip_controls(text: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import quantiles
+from .ordered import quantiles, running_total
 
 #: Categories beyond which an encoder refuses, as its columns would not fit a row.
 MOST = 2000
@@ -45,8 +45,6 @@ def undo_dummies(df: DataFrame, prefix: str, kept: list[str], out: str) -> DataF
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     """Adds the number of a value among the sorted distinct ones, from 0; null stays null. The numbering is made on the distinct values."""
-    from .ordered import running_total
-
     kinds = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_k")).distinct().withColumn("_one", F.lit(1))
     codes = running_total(kinds, [F.asc("_k")], {"_code": "_one"}).select("_k", (F.col("_code") - 1).cast("int").alias(out))
     return df.join(codes, df[column] == codes["_k"], "left").drop("_k")
@@ -84,5 +82,5 @@ def unknown_labels(df: DataFrame, column: str, known: DataFrame, known_column: s
 
 def unique_values(df: DataFrame, column: str) -> DataFrame:
     """(value, n, code): distinct values with counts, numbered in order, null last."""
-    c = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return c.withColumn("code", F.row_number().over(Window.orderBy(F.col("value").asc_nulls_last())) - 1)
+    c = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
+    return running_total(c, [F.col("value").asc_nulls_last()], {"code": "_one"}).select("value", "n", (F.col("code") - 1).cast("int").alias("code"))

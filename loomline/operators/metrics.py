@@ -131,9 +131,8 @@ def roc_auc_by_class(df: DataFrame, truth: str, scores: dict[str, str]) -> DataF
     """(class, auc) one against the rest, from one score column a class, all in one pass."""
     long = df.where(F.col(truth).isNotNull()).select(F.explode(F.array(*[F.struct(F.lit(k).alias("class"), (F.col(truth) == k).alias("y"), F.col(c).cast("double").alias("score")) for k, c in scores.items()])).alias("s")).select("s.*")
     c = long.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("class", "score").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((~F.col("y")).cast("long")).alias("neg"))
-    w = Window.partitionBy("class").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2.0)
-    return c.withColumn("tp", F.sum("pos").over(w)).groupBy("class").agg(F.try_divide(area, F.sum("pos") * F.sum("neg")).alias("auc"))
+    return running_total(c, [F.desc("score")], {"tp": "pos"}, by=["class"]).groupBy("class").agg(F.try_divide(area, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def roc_auc_micro(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
-from .ordered import quantiles
+from .ordered import quantiles, running_total
 from .search import distance, hyperplanes, knn_join, lsh_codes, sign_codes
 
 
@@ -24,8 +24,7 @@ def roc_auc_by_group(df: DataFrame, group: str, positive: Column, score: str) ->
     """(group, auc, n_pos, n_neg): the area of every group in one pass over distinct scores; null where a class is missing."""
     x = df.select(F.col(group).alias("g"), positive.alias("y"), F.col(score).cast("double").alias("s")).where("g is not null and y is not null and s is not null and not isnan(s)")
     c = x.groupBy("g", "s").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((~F.col("y")).cast("long")).alias("neg"))
-    w = Window.partitionBy("g").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    t = c.withColumn("tp", F.sum("pos").over(w))
+    t = running_total(c, [F.desc("s")], {"tp": "pos"}, by=["g"])
     return t.groupBy(F.col("g").alias(group)).agg(F.try_divide(F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2.0), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 

@@ -13,24 +13,33 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
-def running_total(df: DataFrame, order: list[Column], totals: dict[str, str], grand: dict[str, str] | None = None) -> DataFrame:
-    """Adds running totals over the whole table.
+def running_total(df: DataFrame, order: list[Column], totals: dict[str, str], grand: dict[str, str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Adds running totals over the whole table, or within each group of ``by``.
 
     ``totals`` maps new columns to the summed ones; ``grand`` maps new columns to
     the summed ones whose overall sum is wanted. The order must be total up to rows that may share a result.
-    Null values count as nothing. An empty table stays empty.
+    Null values count as nothing. An empty table stays empty. Rows are range
+    partitioned by group and order, so one group of any size spreads over tasks.
     """
-    grand = grand or {}
+    grand, by = grand or {}, by or []
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # range borders are sampled; writing the result fixes each row's partition for good
-    laid = materialise(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ordered")
-    sums = laid.groupBy("_p").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in totals.items()], *[F.sum(c).alias(f"_g_{n}") for n, c in grand.items()])
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(1))
-    # one row a partition
-    offsets = sums.select("_p", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals], *[F.sum(f"_g_{n}").over(every).alias(n) for n in grand])
-    own = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    got = laid.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"_r_{n}") for n, c in totals.items()]).join(F.broadcast(offsets), "_p")
+    laid = materialise(df.repartitionByRange(parts, *[F.col(c) for c in by], *order).withColumn("_p", F.spark_partition_id()), "ordered")
+    sums = laid.groupBy("_p", *by).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in totals.items()], *[F.sum(c).alias(f"_g_{n}") for n, c in grand.items()])
+    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = (Window.partitionBy(*by) if by else Window).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a partition and group
+    offsets = sums.select("_p", *by, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals], *[F.sum(f"_g_{n}").over(every).alias(n) for n in grand])
+    own = Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    got = laid.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"_r_{n}") for n, c in totals.items()])
+    if by:
+        # groups may be as many as rows; a null is a group too
+        same = F.col("a._p") == F.col("b._p")
+        for c in by:
+            same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        got = got.alias("a").join(offsets.alias("b"), same).select("a.*", *[f"b._o_{n}" for n in totals], *[f"b.{n}" for n in grand])
+    else:
+        got = got.join(F.broadcast(offsets), "_p")
     return got.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in totals], *grand)
 
 
@@ -59,11 +68,7 @@ def quantiles(df: DataFrame, column: str, points: dict[str, float], by: list[str
     by = by or []
     x = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(*by, F.col(column).cast("double").alias("_x"))
     counted = x.groupBy(*by, "_x").agg(F.count("*").alias("_c"))
-    if by:
-        w = Window.partitionBy(*by)
-        seq = counted.withColumn("_hi", F.sum("_c").over(w.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
-    else:
-        seq = running_total(counted, [F.col("_x")], {"_hi": "_c"}, {"_n": "_c"})
+    seq = running_total(counted, [F.col("_x")], {"_hi": "_c"}, {"_n": "_c"}, by)
     seq = seq.withColumn("_lo", F.col("_hi") - F.col("_c"))
     out = []
     for name, p in points.items():

@@ -235,43 +235,6 @@ def ripley_k(df: DataFrame, key: str, x: Column, y: Column, radii: list[float],
     return g.select("radius", k.alias("k"), F.sqrt(k / math.pi).alias("l"), (F.sqrt(k / math.pi) - F.col("radius")).alias("h"), (math.pi * F.col("radius") ** 2).alias("poisson"))
 
 
-def bayesian_blocks(counts: DataFrame, by: str, at: str, n: str, p0: float = 0.05) -> DataFrame:
-    """(by, block, start, end, n): change points of binned counts, by the optimal partition of events.
-
-    ``counts`` has one row a group and time bin (in bins of one unit); the bins of a group, not its events, meet in one task.
-    """
-    kind = counts.schema[by].dataType.simpleString()
-
-    def run(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(at)
-        t, c = pdf[at].to_numpy(float), pdf[n].to_numpy(float)
-        m = len(t)
-        edge = np.concatenate(([t[0]], 0.5 * (t[1:] + t[:-1]), [t[-1] + 0.5]))
-        left = edge[-1] - edge
-        ncp = 4 - math.log(73.53 * p0 * m**-0.478)
-        best, last = np.zeros(m), np.zeros(m, int)
-        for r in range(m):
-            width = left[: r + 1] - left[r + 1]
-            size = np.cumsum(c[: r + 1][::-1])[::-1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                fit = np.where(size > 0, size * (np.log(size) - np.log(width)), 0.0)
-            score = fit - ncp
-            score[1:] += best[:r]
-            last[r] = int(np.argmax(score))
-            best[r] = score[last[r]]
-        cuts, at_ = [], m
-        while at_ > 0:
-            cuts.append((last[at_ - 1], at_))
-            at_ = last[at_ - 1]
-        cuts = cuts[::-1]
-        return pd.DataFrame({by: [key[0]] * len(cuts), "block": range(len(cuts)), "start": [edge[a] for a, _ in cuts], "end": [edge[z] for _, z in cuts], "n": [float(c[a:z].sum()) for a, z in cuts]})
-
-    return counts.groupBy(by).applyInPandas(run, f"`{by}` {kind}, block int, start double, end double, n double")
-
-
 def softmax(df: DataFrame, group: str, column: str) -> DataFrame:
     """Adds logsumexp, softmax and log_softmax of a column within each group: two aggregates, joined back, so a large group is never in one window."""
     top = df.groupBy(group).agg(F.max(column).alias("_m"))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import stats as S
 from .evaluation import rounded, t
 
@@ -87,7 +88,24 @@ query(
     "ripley_k",
     "with p as (select c_custkey as id, (c_acctbal + 1000) / 11000 as x, (c_custkey * 7919 % 1000) / 1000.0::double as y from customer), d as (select sqrt((a.x - b.x)**2 + (a.y - b.y)**2) as d from p a join p b on a.id < b.id), r as (select unnest([0.01, 0.03, 0.05]::double[]) as radius), k as (select radius, 2 * (select count(*) from d where d <= radius) / ((select count(*) from p) * ((select count(*) from p) - 1)) as k from r) select radius, round(k, 8) as k, round(sqrt(k / pi()), 6) as l, round(sqrt(k / pi()) - radius, 6) as h, round(pi() * radius**2, 8) as poisson from k",
 )(lambda s, d: rounded(rounded(S.ripley_k(t(s, d, "customer"), "c_custkey", (F.col("c_acctbal") + 1000) / 11000, (F.col("c_custkey") * 7919 % 1000) / F.lit(1000.0), [0.01, 0.03, 0.05], 1.0), "l", "h"), "k", "poisson", digits=8))
-query("bayesian_blocks")(lambda s, d: S.bayesian_blocks(t(s, d, "events").groupBy("event_type", (F.unix_timestamp(F.date_trunc("hour", "ts")) / 3600).alias("h")).agg(F.count("*").alias("n")), "event_type", "h", "n"))
+
+
+def _hours(s, d):
+    hour = F.unix_timestamp(F.date_trunc("hour", "ts")) / 3600
+    return t(s, d, "events").groupBy("event_type", hour.alias("h")).agg(F.count("*").alias("n"), F.avg("value").alias("value"), (50 / F.sqrt(F.count("value"))).alias("sigma"))
+
+
+def _ticks(s, d):
+    """Every hour between the first and the last one, with or without an event of the type."""
+    x = _hours(s, d)
+    span = x.groupBy("event_type").agg(F.min("h").cast("long").alias("a"), F.max("h").cast("long").alias("z"))
+    every = span.select("event_type", F.explode(F.transform(F.sequence("a", "z"), lambda h: h.cast("double"))).alias("h"))
+    return every.join(x, ["event_type", "h"], "left").select("event_type", "h", F.col("n").isNotNull().cast("int").alias("hit"))
+
+
+query("bayesian_blocks")(lambda s, d: B.bayesian_blocks(_hours(s, d), "event_type", "h", "n"))
+query("bayesian_blocks_ticks")(lambda s, d: B.bayesian_blocks(_ticks(s, d), "event_type", "h", "hit", "ticks"))
+query("bayesian_blocks_measures")(lambda s, d: B.bayesian_blocks(_hours(s, d).where("value is not null"), "event_type", "h", "value", "measures", "sigma"))
 query("softmax_group", "with m as (select l_orderkey, max(l_discount) as m from lineitem group by 1), z as (select l_orderkey, ln(sum(exp(l_discount - m))) + max(m) as lse from lineitem join m using (l_orderkey) group by 1) select l_orderkey, l_linenumber, l_partkey, l_discount, round(lse, 6) as logsumexp, round(exp(l_discount - lse), 6) as softmax, round(l_discount - lse, 6) as log_softmax from lineitem join z using (l_orderkey)")(
     lambda s, d: rounded(S.softmax(t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount"), "l_orderkey", "l_discount"), "logsumexp", "softmax", "log_softmax")
 )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,13 +43,49 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/loomline-{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor costs nothing."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor costs nothing.
+
+    What is written is deleted at the end of the program, or of the ``scratch`` block around it.
+    """
     path = scratch_path(df.sparkSession, name)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block at whose end all tables that were written inside it are deleted. Results must be stored or collected before."""
+    first = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        done = _WRITTEN[first:]
+        del _WRITTEN[first:]
+        _delete(spark, done)
+
+
+@atexit.register
+def _tidy() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _WRITTEN:
+        try:
+            _delete(spark, _WRITTEN)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            pass
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, where a table of few files would leave most of them idle; larger tables stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

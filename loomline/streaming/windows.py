@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def event_stream(spark: SparkSession, path: str, glob: str, per_trigger: int = 1) -> DataFrame:
     """A file stream over Parquet files of one schema."""
@@ -37,7 +39,18 @@ def distinct_events(df: DataFrame, keys: list[str], at: str, late: str = "1 hour
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream until its input is used up and returns what came out (for tests and bounded backfills)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream until its input is used up and returns what came out.
+
+    In append mode rows go to files in the shared folder, with a checkpoint
+    beside them, so nothing is held on the driver. Complete mode, which files
+    can't take, writes each batch's whole result and keeps the last.
+    """
+    spark = df.sparkSession
+    out, state = scratch_path(spark, f"{name}-rows"), scratch_path(spark, f"{name}-state")
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", state).queryName(name).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").option("path", out).start()
+    else:
+        q = w.foreachBatch(lambda batch, _id: batch.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(out)
