@@ -113,3 +113,55 @@ def embed_with_cache(spark: SparkSession, df: DataFrame, text: str, cache: DataF
         return wanted.select("text_hash", embed(F.col("t")).alias("embedding"))
     new = wanted.join(cache.select("text_hash"), "text_hash", "left_anti").select("text_hash", embed(F.col("t")).alias("embedding"))
     return cache.join(wanted.select("text_hash"), "text_hash", "left_semi").select("text_hash", "embedding").unionByName(new)
+
+
+def group_statistic(df: DataFrame, by: list[str], column: str, fn: Callable[[Any], float], out: str = "value") -> DataFrame:
+    """(by..., out): a user's aggregate of the non-null values of each group, which it gets as one array. For functions that have no partial form; a group's values meet in one task."""
+
+    @F.pandas_udf(T.DoubleType())
+    def agg(s: pd.Series) -> float:
+        x = s.dropna().to_numpy()
+        return float(fn(x)) if len(x) else float("nan")
+
+    return df.groupBy(*by).agg(agg(F.col(column).cast("double")).alias("_v")).select(*by, F.when(~F.isnan("_v"), F.col("_v")).alias(out))
+
+
+#: Libraries that a back end needs, by its name.
+BACKENDS = {"yake": "yake", "keybert": "keybert", "spacy": "spacy"}
+
+
+def optional(backend: str, fn: Callable[[str], list[str]]) -> Callable[[Column], Column]:
+    """A text function that needs a library: null for every row, and a warning, where that isn't installed."""
+    from importlib.util import find_spec
+    from warnings import warn
+
+    if find_spec(BACKENDS.get(backend, backend)) is None:
+        warn(f"{backend} is not installed; its column is null", stacklevel=2)
+        return lambda _column: F.lit(None).cast("array<string>")
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: fn(x) if x is not None else None)
+
+    return run
+
+
+class CorpusBuilder:
+    """A pipeline from parts made by factories: source, then any number of filters, normalisers, chunkers and enrichers, then a sink. Each part takes and gives a frame; a part that isn't given is left out."""
+
+    ORDER = ("filter", "normalizer", "chunker", "enricher")
+
+    def __init__(self, source: Callable[[], DataFrame], sink: Callable[[DataFrame], Any] | None = None, **factories: Callable[[], Callable[[DataFrame], DataFrame]] | None) -> None:
+        unknown = sorted(set(factories) - set(self.ORDER))
+        if unknown:
+            raise ValueError(f"unknown parts {unknown}; known: {list(self.ORDER)}")
+        self.source, self.sink, self.factories = source, sink, factories
+
+    def build(self) -> DataFrame:
+        df = self.source()
+        for name in self.ORDER:
+            if self.factories.get(name):
+                df = self.factories[name]()(df)
+        if self.sink:
+            self.sink(df)
+        return df

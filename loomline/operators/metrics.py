@@ -282,13 +282,14 @@ def roc_macro(df: DataFrame, truth: str, scores: dict[str, str], points: int = 1
     """
     long = df.where(F.col(truth).isNotNull()).select(F.explode(F.array(*[F.struct(F.lit(k).alias("class"), (F.col(truth) == k).alias("y"), F.col(c).cast("double").alias("s")) for k, c in scores.items()])).alias("z")).select("z.*")
     c = long.where(F.col("s").isNotNull() & ~F.isnan("s")).groupBy("class", "s").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((~F.col("y")).cast("long")).alias("neg"))
-    w = Window.partitionBy("class").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("class")
-    p = c.select("class", F.try_divide(F.sum("neg").over(w), F.sum("neg").over(every)).alias("x"), F.try_divide(F.sum("pos").over(w), F.sum("pos").over(every)).alias("y"))
+    r = running_total(c, [F.desc("s")], {"fp": "neg", "tp": "pos"}, {"n": "neg", "p": "pos"}, ["class"])
+    p = r.select("class", F.try_divide("fp", "n").alias("x"), F.try_divide("tp", "p").alias("y"))
     zero = p.select("class").distinct().select("class", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     p = p.unionByName(zero).groupBy("class", "x").agg(F.max("y").alias("y"))
-    o = Window.partitionBy("class").orderBy("x")
-    p = p.withColumn("x0", F.lag("x").over(o)).withColumn("y0", F.lag("y").over(o))
+    # the row before, across the whole table; a class starts anew
+    p = with_previous(p, [F.asc("class"), F.asc("x")], {"c0": ("class", None), "x0": ("x", None), "y0": ("y", None)})
+    same = F.col("c0").eqNullSafe(F.col("class"))
+    p = p.withColumn("x0", F.when(same, F.col("x0"))).withColumn("y0", F.when(same, F.col("y0")))
     grid = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
     at = p.select("class", "x", "y", "x0", "y0", F.explode(F.filter(grid, lambda g: (g <= F.col("x")) & (F.col("x0").isNull() | (g > F.col("x0"))))).alias("fpr"))
     value = F.when(F.col("x0").isNull() | (F.col("fpr") == F.col("x")), F.col("y")).otherwise(F.col("y0") + (F.col("y") - F.col("y0")) * (F.col("fpr") - F.col("x0")) / (F.col("x") - F.col("x0")))

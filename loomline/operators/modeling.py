@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 from .ordered import quantiles, running_total
-from .search import distance, hyperplanes, knn_join, lsh_codes, sign_codes
+from .search import code_plan, distance, hyperplanes, knn_join, lsh_codes, sign_codes
 
 
 def fold_of(key: list[str], folds: int, seed: int = 0) -> Column:
@@ -126,31 +126,38 @@ def impute_by_neighbours(df: DataFrame, key: str, vector: str, column: str, k: i
     return df.join(fill, F.col(key) == F.col("query_id"), "left").withColumn(column, F.coalesce(F.col(column).cast("double"), F.col("_f"))).drop("_f", "query_id")
 
 
-def save_index(df: DataFrame, path: str, key: str, vector: str, tables: int = 24, bits: int = 6, seed: int = 5) -> None:
-    """Writes a vector index: the vectors by id, and their hyperplane codes sorted by code, so that a query's filter skips most of the codes' row groups. Every row is indexed."""
+def save_index(df: DataFrame, path: str, key: str, vector: str, tables: int | None = None, bits: int | None = None, seed: int = 5) -> None:
+    """Writes a vector index: the vectors by id, their hyperplane codes sorted by code, so that a query's filter skips most of the codes' row groups, and one row of settings. Every row is indexed; tables and bits follow their number unless given."""
     x = df.where(F.col(vector).isNotNull())
-    row = x.select(F.size(vector).alias("d")).first()
-    dims = row.d if row else 0
+    s = x.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
+    if tables is None or bits is None:
+        tables, bits = code_plan(s.n)
+    dims = s.d or 0
     codes = lsh_codes(x, key, vector, hyperplanes(dims, tables, bits, seed), tables, bits, False, "id")
     codes.repartitionByRange("code").sortWithinPartitions("code").write.mode("overwrite").parquet(f"{path}/codes")
     x.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")).write.mode("overwrite").parquet(f"{path}/vectors")
+    df.sparkSession.createDataFrame([(dims, tables, bits, seed)], "dims int, tables int, bits int, seed long").write.mode("overwrite").parquet(f"{path}/settings")
 
 
-def query_index(spark: SparkSession, path: str, query: list[float], k: int, tables: int = 24, bits: int = 6, seed: int = 5) -> DataFrame:
+def _settings(spark: SparkSession, path: str) -> tuple[np.ndarray, int, int]:
+    s = spark.read.parquet(f"{path}/settings").first()
+    return hyperplanes(s.dims, s.tables, s.bits, s.seed), s.tables, s.bits
+
+
+def query_index(spark: SparkSession, path: str, query: list[float], k: int) -> DataFrame:
     """(id, score) of the nearest vectors among those that share a code, or all signs but one, with the query in any table."""
-    q = np.asarray([query], float)
-    probes = sign_codes(q, hyperplanes(q.shape[1], tables, bits, seed), tables, bits, True)[0]
+    planes, tables, bits = _settings(spark, path)
+    probes = sign_codes(np.asarray([query], float), planes, tables, bits, True)[0]
     near = spark.read.parquet(f"{path}/codes").where(F.col("code").isin([int(c) for c in probes])).select("id").distinct()
     got = spark.read.parquet(f"{path}/vectors").join(near, "id", "left_semi")
     return got.select("id", F.round(distance(F.col("vector"), F.array(*[F.lit(float(v)) for v in query]), "cosine"), 8).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def query_index_all(queries: DataFrame, path: str, key: str, vector: str, k: int, tables: int = 24, bits: int = 6, seed: int = 5) -> DataFrame:
+def query_index_all(queries: DataFrame, path: str, key: str, vector: str, k: int) -> DataFrame:
     """(query_id, item_id, score, rank): as ``query_index`` for every row of ``queries`` that has a vector, in one join with the stored codes; ties by item."""
     spark = queries.sparkSession
     x = queries.where(F.col(vector).isNotNull())
-    row = x.select(F.size(vector).alias("d")).first()
-    probes = lsh_codes(x, key, vector, hyperplanes(row.d if row else 0, tables, bits, seed), tables, bits, True, "query_id")
+    probes = lsh_codes(x, key, vector, *_settings(spark, path), True, "query_id")
     codes = spark.read.parquet(f"{path}/codes").withColumnRenamed("id", "item_id")
     pairs = probes.join(codes, "code").select("query_id", "item_id").distinct()
     items = spark.read.parquet(f"{path}/vectors").toDF("item_id", "v")

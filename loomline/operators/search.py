@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -161,8 +162,16 @@ def lsh_codes(df: DataFrame, key: str, vector: str, planes: np.ndarray, tables:
     return got.select(out, F.explode("codes").alias("code"))
 
 
-def lsh_knn(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, dims: int, tables: int = 24, bits: int = 6, seed: int = 11) -> DataFrame:
-    """(query_id, item_id, score, rank): approximate nearest items by random hyperplanes: candidates share the signs of ``bits`` projections in any table, or all but one of them."""
+def code_plan(rows: int) -> tuple[int, int]:
+    """(tables, bits) for so many vectors: bits grow with the logarithm of the rows, so a code holds about as many vectors at any size, and tables grow to make up for longer codes."""
+    bits = min(20, max(6, math.ceil(math.log2(max(1, rows) / 64))))
+    return min(256, round(24 * 2 ** ((bits - 6) / 4))), bits
+
+
+def lsh_knn(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, dims: int, tables: int | None = None, bits: int | None = None, seed: int = 11) -> DataFrame:
+    """(query_id, item_id, score, rank): approximate nearest items by random hyperplanes: candidates share the signs of ``bits`` projections in any table, or all but one of them. Tables and bits follow the number of items unless given."""
+    if tables is None or bits is None:
+        tables, bits = code_plan(items.count())
     planes = hyperplanes(dims, tables, bits, seed)
     a, b = lsh_codes(queries, key, vector, planes, tables, bits, True, "query_id"), lsh_codes(items, key, vector, planes, tables, bits, False, "item_id")
     pairs = a.join(b, "code").where("query_id <> item_id").select("query_id", "item_id").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import hooks as H
 from ..functions import strings as Z
 from ..functions import text as X
 from ..operators import lexical as L
@@ -149,3 +150,26 @@ ORACLE["pack_sentences"] = (
     + """, f as (select doc_id, case when open = '' then done else list_append(done, open) end as c from e)
  select doc_id, unnest(range(len(c)))::int as chunk_index, unnest(c) as chunk from f"""
 )
+
+query("user_aggregate", "select o_orderpriority, round(median(o_totalprice) - min(o_totalprice), 4) as value from orders group by 1")(
+    lambda s, d: H.group_statistic(t(s, d, "orders"), ["o_orderpriority"], "o_totalprice", lambda x: sorted(x)[(len(x) - 1) // 2] / 2 + sorted(x)[len(x) // 2] / 2 - x.min()).withColumn("value", F.round("value", 4))
+)
+query("optional_keywords", "select doc_id, null::varchar[] as keywords from documents")(lambda s, d: docs(s, d).select("doc_id", H.optional("yake", lambda x: [x])(F.col("text")).alias("keywords")))
+
+
+def _built(s, d):
+    return H.CorpusBuilder(
+        lambda: docs(s, d),
+        filter=lambda: lambda x: x.where("trim(text) <> ''"),
+        chunker=lambda: lambda x: x.select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda p: p != "")).alias("chunk_index", "chunk")),
+        enricher=lambda: lambda x: x.withColumn("n_words", X.word_count(F.col("chunk"))),
+    ).build()
+
+
+query(
+    "corpus_builder",
+    "select doc_id, chunk_index, chunk, case when trim(regexp_replace(chunk, '\\s+', ' ', 'g')) = '' then 0 else len(string_split(trim(regexp_replace(chunk, '\\s+', ' ', 'g')), ' ')) end::int as n_words from (select doc_id, unnest(range(len(p)))::int as chunk_index, unnest(p) as chunk from (select doc_id, list_filter(string_split(text, chr(10)), lambda p: p <> '') as p from documents where trim(text) <> ''))",
+)(_built)
+query("human_sizes", "select event_id, case when n < 1024 then format('{:.1f} B', n::double) when n < 1024 ** 2 then format('{:.1f} KB', n / 1024.0::double) when n < 1024 ** 3 then format('{:.1f} MB', n / 1048576.0::double) when n < 1024.0 ** 4 then format('{:.1f} GB', n / 1073741824.0::double) when n < 1024.0 ** 5 then format('{:.1f} TB', n / 1099511627776.0::double) else format('{:.1f} PB', n / 1125899906842624.0::double) end as size from (select event_id, ((event_id + 3) << ((event_id % 10 * 4)::int + 1)) + 1 as n from events)")(
+    lambda s, d: t(s, d, "events").select("event_id", X.human_size(F.expr("shiftleft(event_id + 3, cast(event_id % 10 * 4 as int) + 1) + 1")).alias("size"))
+)

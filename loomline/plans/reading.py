@@ -118,6 +118,33 @@ query(
     "select * from (values ('https://h.example/A.CSV.gz?x=1', true, '.csv.gz', '.csv', '.gz'), ('/d/b.tar.gz', false, '.tar.gz', '.tar', '.gz'), ('c.md', false, '.md', '.md', null), ('noext', false, '', '', null), ('s3a://k/e.parquet', true, '.parquet', '.parquet', null)) v(path, is_url, extension, suffix, compression)",
 )(lambda s, d: s.createDataFrame([(p, *(D.format_of(p)[k] for k in ("is_url", "extension", "suffix", "compression"))) for p in _PATHS], "path string, is_url boolean, extension string, suffix string, compression string"))
 
+def _workbook(s, d):
+    p = folder(s, "xlsx")
+    rows = nations(s, d)
+    names = ["n_nationkey", "n_name", "n_regionkey", *[r.n_name for r in rows]]
+    cell = lambda at, v, kind="": f'<c r="{at}"{kind}><v>{v}</v></c>'
+    text = ' t="s"'
+    lines = ["<row>" + "".join(cell(f"{x}1", i, text) for i, x in enumerate("ABC")) + "</row>"]
+    lines += [f"<row>{cell(f'A{i + 2}', r.n_nationkey)}{cell(f'B{i + 2}', i + 3, text)}{cell(f'C{i + 2}', r.n_regionkey)}</row>" for i, r in enumerate(rows)]
+    with zipfile.ZipFile(f"{p}/t.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><t>{n}</t></si>" for n in names) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", "<worksheet><sheetData>" + "".join(lines) + "</sheetData></worksheet>")
+    return R.load_data(s, f"file://{p}/t.xlsx")
+
+
+query("load_xlsx", "select n_nationkey::double as n_nationkey, n_name, n_regionkey::double as n_regionkey from nation")(_workbook)
+
+
+def _named(s, d):
+    p = folder(s, "sets")
+    with open(f"{p}/nations.csv", "w") as f:
+        f.write(_pdf(s, d).to_csv(index=False) + ",,\n")
+    return R.load_dataset(s, "nations", f"file://{p}", _KIND)
+
+
+query("load_dataset", _NATION)(_named)
+
+
 # documents
 _BODY = {".md": "# {n}\n\nAbout *{n}*.", ".rst": "{n}\n====\n\n.. note:: {n}", ".txt": "{n} plain\r\nline", ".unknown": "{n}"}
 

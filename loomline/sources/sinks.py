@@ -26,7 +26,7 @@ def flatten_metadata(df: DataFrame, column: str = "metadata", most: int = 500) -
 
 
 def export_documents(df: DataFrame, path: str, fmt: str = "parquet", embedding: str | None = "embedding", compression: str = "zstd") -> None:
-    """Writes a frame as parquet, csv, jsonl, json (one array a partition file) or orc; Spark's commit makes it all or nothing. CSV never has embeddings."""
+    """Writes a frame as parquet, csv, jsonl, json (one array a partition file) or orc; a table that is there is replaced, and while that goes on it is gone (``exports.publish`` keeps it until the new one is complete). CSV never has embeddings."""
     if fmt == "csv":
         flat = flatten_metadata(df.drop(embedding) if embedding else df)
         flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
@@ -61,7 +61,7 @@ def load_documents(spark: SparkSession, path: str, fmt: str, sha256: dict[str, s
 
 
 def save_vectors(df: DataFrame, path: str, key: str, vector: str) -> int:
-    """Writes vectors as .npy parts, one for each partition, with their keys beside them; mixed dimensions raise. Returns the dimension."""
+    """Writes vectors as a table of npy bytes, one row for each partition, with their keys beside them, to any file system (``exports.write_npy`` writes plain .npy files); mixed dimensions raise. Returns the dimension."""
     dims = df.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).distinct().limit(2).collect()
     if len(dims) > 1:
         raise ValueError("vectors of different dimensions")
