@@ -20,6 +20,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Fitness = Callable[[np.ndarray, int], np.ndarray]
 
@@ -100,11 +101,9 @@ def bayesian_blocks(df: DataFrame, by: str, at: str, value: str, kind: str = "ev
         raise ValueError(f"unknown kind {kind!r}")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[at, value]).sort_values(at)
+        pdf = pdf.sort_values(at)
         t, x = pdf[at].to_numpy(float), pdf[value].to_numpy(float)
         m = len(t)
-        if not m:
-            return pd.DataFrame({by: [], "block": [], "start": [], "end": [], "n": [], "mean": []})
         if kind == "measures":
             edges = _edges(t)
             fitness = measure_fitness(x, pdf[sigma].to_numpy(float) if sigma else np.ones(m))
@@ -119,4 +118,5 @@ def bayesian_blocks(df: DataFrame, by: str, at: str, value: str, kind: str = "ev
         mean = (total[z] - total[a]) / (z - a)
         return pd.DataFrame({by: [key[0]] * len(a), "block": range(len(a)), "start": edges[a], "end": edges[z], "n": n, "mean": mean})
 
-    return df.groupBy(by).applyInPandas(run, f"`{by}` {kind_of}, block int, start double, end double, n double, mean double")
+    fine = df.where(F.col(at).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return fine.groupBy(by).applyInPandas(run, f"`{by}` {kind_of}, block int, start double, end double, n double, mean double")
