@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clv as V
@@ -76,9 +77,9 @@ query("union_all", "select n_name as name from nation union all select r_name fr
 query("intersect_keys", "select c_custkey as k from customer intersect select o_custkey from orders")(lambda s, d: t(s, d, "customer").select(F.col("c_custkey").alias("k")).intersect(orders(s, d).select("o_custkey")))
 query("except_keys", "select p_partkey as k from part except select l_partkey from lineitem")(lambda s, d: t(s, d, "part").select(F.col("p_partkey").alias("k")).exceptAll(t(s, d, "lineitem").select("l_partkey").distinct()))
 query("provenance_override", "select input_path, coalesce(m.source_type, 'unknown') as source_type, count(*) as n from reader_files f left join collection_manifests m on f.collection_id = m.collection_id group by 1, 2")(lambda s, d: t(s, d, "reader_files").join(F.broadcast(t(s, d, "collection_manifests").select("collection_id", "source_type")), "collection_id", "left").groupBy("input_path", F.coalesce("source_type", F.lit("unknown")).alias("source_type")).agg(F.count("*").alias("n")))
-query("dummy_classifier", "select l_returnflag as label, round(count(*) / (select count(*) from lineitem), 6) as prior, count(*) = max(count(*)) over () as most_frequent from lineitem group by 1")(lambda s, d: t(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.count("*").alias("n")).select("label", F.round(F.col("n") / F.sum("n").over(__import__("pyspark").sql.Window.partitionBy(F.lit(1))), 6).alias("prior"), (F.col("n") == F.max("n").over(__import__("pyspark").sql.Window.partitionBy(F.lit(1)))).alias("most_frequent")))
+query("dummy_classifier", "select l_returnflag as label, round(count(*) / (select count(*) from lineitem), 6) as prior, count(*) = max(count(*)) over () as most_frequent from lineitem group by 1")(lambda s, d: t(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.count("*").alias("n")).select("label", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6).alias("prior"), (F.col("n") == F.max("n").over(Window.partitionBy(F.lit(1)))).alias("most_frequent")))
 query("feature_ranking", "with x as (select 'quantity' as feature, corr(l_quantity, l_extendedprice) as r from lineitem union all select 'discount', corr(l_discount, l_extendedprice) from lineitem union all select 'tax', corr(l_tax, l_extendedprice) from lineitem) select feature, round(r, 6) as importance, (row_number() over (order by abs(r) desc, feature))::int as rank from x")(
-    lambda s, d: (lambda x: x.withColumn("rank", F.row_number().over(__import__("pyspark").sql.Window.orderBy(F.desc(F.abs("importance_raw")), "feature"))).select("feature", F.round("importance_raw", 6).alias("importance"), "rank"))(
+    lambda s, d: (lambda x: x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs("importance_raw")), "feature"))).select("feature", F.round("importance_raw", 6).alias("importance"), "rank"))(
         t(s, d, "lineitem").agg(*[F.corr(f"l_{c}", "l_extendedprice").alias(c) for c in ("quantity", "discount", "tax")]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance_raw")) for c in ("quantity", "discount", "tax")])).alias("z")).select("z.*")
     )
 )

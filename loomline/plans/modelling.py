@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hooks as H
 from ..operators import chunking as C
+from ..operators import clv as V
 from ..operators import modeling as M
 from ..session import scratch_path, spread
 from .evaluation import rounded, scored, t
@@ -39,7 +40,7 @@ query("cv_roc_auc")(lambda s, d: M.roc_auc_by_group(scored(s, d).withColumn("fol
 query("cv_confusion")(lambda s, d: M.confusion_by_fold(scored(s, d), M.fold_of(["l_orderkey"], 5), "l_returnflag", "l_linestatus"))
 query("expected_purchases")(lambda s, d: s.range(1, 60).select(F.col("id").alias("t"), F.round(M.expected_purchases(F.col("id"), 0.24, 4.4, 0.8, 2.5), 6).alias("n")))
 query("generate_bgnbd")(lambda s, d: M.generate_bgnbd(s, 500, 52.0, 0.24, 4.4, 0.8, 2.5))
-query("alive_grid", "select f::bigint as frequency, r::int as recency, round(case when f = 0 then 1 else 1 / (1 + exp(ln(0.8::double) - ln(2.5 + greatest(f, 1) - 1) + (0.24 + f) * (ln(4.4 + 52) - ln(4.4 + r)))) end, 6) as value from range(11) a(f), range(53) b(r)")(lambda s, d: M.frequency_recency_grid(s, 10, 52, lambda f, r: F.round(__import__("loomline.operators.clv", fromlist=["x"]).probability_alive(f, r, F.lit(52.0), 0.24, 4.4, 0.8, 2.5), 6)))
+query("alive_grid", "select f::bigint as frequency, r::int as recency, round(case when f = 0 then 1 else 1 / (1 + exp(ln(0.8::double) - ln(2.5 + greatest(f, 1) - 1) + (0.24 + f) * (ln(4.4 + 52) - ln(4.4 + r)))) end, 6) as value from range(11) a(f), range(53) b(r)")(lambda s, d: M.frequency_recency_grid(s, 10, 52, lambda f, r: F.round(V.probability_alive(f, r, F.lit(52.0), 0.24, 4.4, 0.8, 2.5), 6)))
 query("pca_components")(lambda s, d: M.pca(t(s, d, "embeddings"), "embedding", 2)[0].select("vec_id", "components"))
 query("kmeans_elbow")(lambda s, d: M.kmeans_elbow(t(s, d, "embeddings"), "embedding", [2, 5, 10]))
 query("text_classifier")(lambda s, d: M.text_classifier(docs(s, d), "text", "section_type").transform(docs(s, d)).groupBy("section_type", "prediction").count())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import search as R
@@ -77,7 +78,7 @@ query(
 )(
     lambda s, d: R.fuse([
         (R.bm25(docs(s, d), "doc_id", "text", TERMS, top=30), 0.6),
-        (R.cosine_to(vectors(s, d).withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", _first(s, d), 30).withColumn("rank", F.row_number().over(__import__("pyspark").sql.Window.orderBy(F.desc("score"), "doc_id"))), 0.4),
+        (R.cosine_to(vectors(s, d).withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", _first(s, d), 30).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))), 0.4),
     ], "doc_id")
 )
 query("vector_normalise", "with v as (select vec_id, embedding::double[] as e from embeddings) select vec_id, round(sqrt(list_dot_product(e, e)), 5) as norm, round(list_max(list_transform(e, lambda x: abs(x))), 5) as max_abs, list_max(list_transform(e, lambda x: abs(x))) < 'inf'::double as finite from v")(

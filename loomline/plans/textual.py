@@ -74,19 +74,12 @@ query("content_hash", "select doc_id, case when coalesce(text, '') = '' then rep
 query("document_ids", "select doc_id, substr(sha256(concat_ws(chr(31), cast(doc_id as varchar), coalesce(source, ''), coalesce(text, ''))), 1, 32) as id from documents")(lambda s, d: docs(s, d, "source").select("doc_id", X.document_id(F.col("doc_id"), F.col("source"), F.col("text")).alias("id")))
 query("source_type_infer", "with m as (select unnest(['txt', 'md', 'rst', 'html', 'pdf']) as e, unnest(['text', 'markdown', 'documentation', 'web', 'research']) as s) select input_path, coalesce(s, 'unknown') as source_type, count(*) as n from reader_files left join m on lower(regexp_extract(input_path, '\\.([^./]+)$', 1)) = e group by 1, 2")(lambda s, d: t(s, d, "reader_files").groupBy("input_path", X.source_type(F.col("input_path")).alias("source_type")).agg(F.count("*").alias("n")))
 query("provenance_filename", "select distinct input_path, regexp_extract(input_path, '([^/]*)$', 1) as name, regexp_extract(input_path, '_([a-z]+)', 1) as title, regexp_extract(input_path, '/p([0-9]+)_', 1) as no from reader_files")(lambda s, d: t(s, d, "reader_files").select("input_path", X.basename(F.col("input_path")).alias("name"), F.regexp_extract("input_path", "_([a-z]+)", 1).alias("title"), F.regexp_extract("input_path", "/p([0-9]+)_", 1).alias("no")).distinct())
-query("edit_distance", "with n as (select distinct p_name from part) select a.p_name as a, b.p_name as b, cast(levenshtein(a.p_name, b.p_name) as int) as distance from n a join n b on a.p_name < b.p_name and left(a.p_name, 1) = left(b.p_name, 1) where levenshtein(a.p_name, b.p_name) <= 4")(
-    lambda s, d: (lambda n: n.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 1).alias("k")).join(n.select(F.col("p_name").alias("b"), F.substring("p_name", 1, 1).alias("k")), "k").where("a < b").select("a", "b", F.levenshtein("a", "b", 4).alias("distance")).where("distance >= 0"))(t(s, d, "part").select("p_name").distinct())
-)
 query("edit_distance_pairs", "with n as (select distinct p_name from part) select a.p_name as a, b.p_name as b, cast(levenshtein(a.p_name, b.p_name) as int) as distance from n a join n b on a.p_name < b.p_name where levenshtein(a.p_name, b.p_name) <= 4")(lambda s, d: near_names(t(s, d, "part"), "p_name", 4))
-query("human_size", "select input_path, max(case when n_bytes < 1024 then format('{:.1f} B', n_bytes::double) else format('{:.1f} KB', n_bytes / 1024.0::double) end) as size from reader_files where n_bytes < 1048576 group by 1")(lambda s, d: t(s, d, "reader_files").where("n_bytes < 1048576").groupBy("input_path").agg(F.max(X.human_size(F.col("n_bytes"))).alias("size")))
 query("dedup_lines", "with x as (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null), k as (select *, row_number() over (partition by doc_id, trim(l) order by i) as r from x) select doc_id, string_agg(l, chr(10) order by i) as clean from k where r = 1 or trim(l) = '' group by 1")(lambda s, d: X.dedup_lines(docs(s, d).where("text is not null"), "text", "clean").select("doc_id", "clean"))
 query("dedup_exact", "select min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by sha256(text)")(lambda s, d: docs(s, d).where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h"))
 query("upsert_last_wins", "select doc_id, max(stored_at) as stored_at, count(*) as n_states from corpus_documents group by 1")(lambda s, d: t(s, d, "corpus_documents").groupBy("doc_id").agg(F.max("stored_at").alias("stored_at"), F.count("*").alias("n_states")))
 query("current_labels", "select doc_id, language, source_type from (select *, row_number() over (partition by doc_id order by stored_at desc) as r from corpus_documents) where r = 1")(lambda s, d: t(s, d, "corpus_documents").groupBy("doc_id").agg(F.max_by(F.struct("language", "source_type"), "stored_at").alias("s")).select("doc_id", "s.*"))
 query("json_fields", "select doc_id, stored_at, json_extract_string(json_data, '$.source_title') as title, cast(json_extract_string(json_data, '$.page_number') as int) as page from corpus_documents where json_valid(json_data)")(lambda s, d: t(s, d, "corpus_documents").select("doc_id", "stored_at", F.from_json("json_data", "source_title string, page_number int, doc_id string").alias("j")).where("j.doc_id is not null").select("doc_id", "stored_at", F.col("j.source_title").alias("title"), F.col("j.page_number").alias("page")))
-query("natural_sort", "select input_path, (row_number() over (order by regexp_extract(input_path, '^corpora/([a-z-]+)', 1), cast(coalesce(nullif(regexp_extract(input_path, '/p([0-9]+)', 1), ''), '0') as bigint), input_path))::int as pos from (select distinct input_path from reader_files) order by pos limit 50")(
-    lambda s, d: (lambda x: x.limit(50).withColumn("pos", F.monotonically_increasing_id()).coalesce(1).select("input_path", (F.row_number().over(__import__("pyspark").sql.Window.orderBy("a", "b", "input_path"))).alias("pos")))(t(s, d, "reader_files").select("input_path").distinct().withColumn("a", F.regexp_extract("input_path", "^corpora/([a-z-]+)", 1)).withColumn("b", F.coalesce(F.nullif(F.regexp_extract("input_path", "/p([0-9]+)", 1), F.lit("")), F.lit("0")).cast("bigint")).orderBy("a", "b", "input_path"))
-)
 _NAT = "regexp_extract_all(input_path, '([^0-9]*)([0-9]*)', {})"
 query("natural_sort_paths", f"select input_path, row_number() over (order by list_transform(list_zip({_NAT.format(1)}, {_NAT.format(2)}), lambda x: {{'t': lower(x[1]), 'n': coalesce(try_cast(x[2] as hugeint), -1)}}), input_path) as pos from (select distinct input_path from reader_files)")(
     lambda s, d: running_total(t(s, d, "reader_files").select("input_path").distinct().withColumn("k", X.natural_key(F.col("input_path"))).withColumn("one", F.lit(1).cast("long")), [F.col("k"), F.col("input_path")], {"pos": "one"}).select("input_path", "pos")
@@ -94,3 +87,11 @@ query("natural_sort_paths", f"select input_path, row_number() over (order by lis
 _SRT = "1\n00:00:01,000 --> 00:00:02,500\n<i>{n}</i>\nsecond line\n\n2\n00:01:00,000 --> 00:01:03,250\nbye {n}\n"
 query("srt_parse", "select n_nationkey as id, 1 as cue, 1.0::double as start_s, 2.5::double as end_s, n_name || ' second line' as cue_text from nation union all select n_nationkey, 2, 60.0, 63.25, 'bye ' || n_name from nation")(lambda s, d: C.parse_subtitles(t(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.replace(F.lit(_SRT), F.lit("{n}"), F.col("n_name")).alias("x")), "id", "x"))
 query("html_sections", "select n_nationkey as id, unnest([0, 1, 2]) as element_index, unnest(['h1', 'p', 'li']) as html_tag, unnest(['title', 'text', 'text']) as section_type, unnest([n_name, 'about ' || n_name, 'item']) as section_text from nation")(lambda s, d: C.html_sections(t(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("<h1 class='a'>"), "n_name", F.lit("</h1><p>about <b>"), "n_name", F.lit("</b></p><ul><li>item</li></ul>")).alias("x")), "id", "x"))
+
+# the first names of these queries; both are whole
+for _new, _old in (("edit_distance_pairs", "edit_distance"), ("natural_sort_paths", "natural_sort")):
+    QUERIES[_old], ORACLE[_old] = QUERIES[_new], ORACLE[_new]
+_UNITS = "case when n < 1024 then format('{:.1f} B', n) " + " ".join(f"when n < 1024.0 ** {k + 1} then format('{{:.1f}} {u}', n / 1024.0::double ** {k})" for k, u in enumerate(("KB", "MB", "GB", "TB"), 1)) + " end"
+query("human_size", f"with x as (select input_path, max(n_bytes)::double as n from reader_files where n_bytes is not null group by 1) select input_path, {_UNITS} as size from x")(
+    lambda s, d: t(s, d, "reader_files").groupBy("input_path").agg(F.max("n_bytes").alias("n")).where("n is not null").select("input_path", X.human_size(F.col("n")).alias("size"))
+)
