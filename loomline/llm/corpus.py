@@ -80,6 +80,15 @@ class FitSample:
 SAMPLE_FILES = 64
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """A table read from files, or the part of it in at most SAMPLE_FILES of them, chosen by a hash of their names."""
+    files = df.inputFiles()
+    if len(files) <= SAMPLE_FILES:
+        return df
+    files = sorted(files, key=lambda f: sha1(f.rsplit("/", 1)[-1].encode()).digest())[:SAMPLE_FILES]
+    return df.sparkSession.read.schema(df.schema).parquet(*files)
+
+
 def fit_sample(spark: SparkSession, sf_dir: str, rows: int = 5000, code: int = 200) -> FitSample:
     """About ``rows`` whole documents, and about ``code`` of section type code, never more than twice as many together.
 
@@ -87,11 +96,7 @@ def fit_sample(spark: SparkSession, sf_dir: str, rows: int = 5000, code: int = 2
     a hash of their names, so that a large table isn't read for a small sample.
     Null texts are left out.
     """
-    docs = table(spark, sf_dir, "documents")
-    files = docs.inputFiles()
-    if len(files) > SAMPLE_FILES:
-        files = sorted(files, key=lambda f: sha1(f.rsplit("/", 1)[-1].encode()).digest())[:SAMPLE_FILES]
-        docs = spark.read.schema(docs.schema).parquet(*files)
+    docs = few_files(table(spark, sf_dir, "documents"))
     is_code = F.coalesce(F.col("section_type") == "code", F.lit(False))
     n = docs.agg(F.count("*").alias("all"), F.count_if(is_code).alias("code")).first()
     buckets = 1 << 20

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpus import current, latest, states, table
+from .corpus import current, few_files, latest, states, table
 
 KINDS = ("none", "html", "markdown", "wiki", "latex", "rest")
 #: Texts without any of these characters or line starts have no cue at all.
@@ -383,7 +383,7 @@ def dropped(text: str) -> list[tuple[int, int]]:
 
 def fit_markup(spark: SparkSession, sf_dir: str, rows: int = 3000) -> MarkupModel:
     """Trains the potentials on a bounded sample (``rows``) of the corpus, labelled by the reader of each file."""
-    docs = table(spark, sf_dir, "corpus_documents").select("doc_id", "input_path", "json_data")
+    docs = few_files(table(spark, sf_dir, "corpus_documents")).select("doc_id", "input_path", "json_data")
     total = docs.count()
     buckets = 1 << 20
     cut = buckets if total <= rows else max(1, buckets * rows // total)
