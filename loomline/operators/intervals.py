@@ -13,9 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
 from .ordered import quantiles, running_total
-from .stats import binomial_interval, poisson_interval
+from .stats import binomial_interval, clip_bounds, poisson_interval, value_counts
 
 _STEPS = 80
 
@@ -208,25 +207,7 @@ def sigma_clip(df: DataFrame, column: str, lower: float = 3.0, upper: float | No
     Each round works on the counts of distinct values, which are written once.
     """
     upper = lower if upper is None else upper
-    v = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    counted = materialise(v.groupBy("x").agg(F.count("*").alias("n")), "values")
-    low, high, before = -math.inf, math.inf, None
-    for _ in range(rounds):
-        kept = counted.where((F.col("x") >= low) & (F.col("x") <= high))
-        s = kept.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("t"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("q")).first()
-        if not s.n or s.n == before:
-            break
-        before = s.n
-        mean = s.t / s.n
-        spread = kept.agg(F.sum(F.col("n") * F.pow(F.col("x") - mean, F.lit(2))).alias("q")).first().q
-        sd = math.sqrt(max(0.0, spread / s.n))
-        mid = mean
-        if centre == "median":
-            seq = running_total(kept, [F.asc("x")], {"hi": "n"})
-            at = [(s.n - 1) // 2, s.n // 2]
-            got = seq.agg(*[F.min(F.when(F.col("hi") > k, F.col("x"))).alias(f"m{i}") for i, k in enumerate(at)]).first()
-            mid = (got.m0 + got.m1) / 2
-        low, high = mid - lower * sd, mid + upper * sd
+    low, high = clip_bounds(value_counts(df, column), lower, upper, rounds, centre)
     x = F.col(column).cast("double")
     out = x.isNull() | F.isnan(x) | (x < low) | (x > high)
     return df.withColumn("clipped", F.coalesce(out, F.lit(True))).withColumn("clip_low", F.lit(low)).withColumn("clip_high", F.lit(high))

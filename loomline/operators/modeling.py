@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
+from .index import choose_backend, forest_knn
 from .ordered import quantiles, running_total
 from .search import code_plan, distance, hyperplanes, knn_join, lsh_codes, sign_codes
 
@@ -121,7 +122,12 @@ def text_classifier(df: DataFrame, text: str, label: str, features: int = 1 << 1
 def impute_by_neighbours(df: DataFrame, key: str, vector: str, column: str, k: int = 5) -> DataFrame:
     """Fills a column's nulls with the mean of the k nearest rows (by vector) that have it; rows without a vector stay null."""
     have, lack = df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull())
-    near = knn_join(lack, have, key, vector, k).join(have.select(F.col(key).cast("long").alias("item_id"), F.col(column).cast("double").alias("v")), "item_id")
+    # exact while the comparisons are bounded, else among the leaves of a projection forest
+    if choose_backend("auto", lack.count(), have.count()) == "exact":
+        found = knn_join(lack, have, key, vector, k)
+    else:
+        found = forest_knn(lack, have, key, vector, k)
+    near = found.join(have.select(F.col(key).cast("long").alias("item_id"), F.col(column).cast("double").alias("v")), "item_id")
     fill = near.groupBy("query_id").agg(F.avg("v").alias("_f"))
     return df.join(fill, F.col(key) == F.col("query_id"), "left").withColumn(column, F.coalesce(F.col(column).cast("double"), F.col("_f"))).drop("_f", "query_id")
 

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ordered import quantiles, running_total
 
 
@@ -120,23 +121,45 @@ def histogram(df: DataFrame, column: str, rule: str | int = "freedman") -> DataF
     return grid.join(counts, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * F.col("dx")).alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("dx")).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def sigma_clipped_stats(df: DataFrame, column: str, sigma: float = 3.0, rounds: int = 5) -> DataFrame:
-    """One row (mean, median, std, n) after repeatedly leaving out values farther than sigma deviations from the median.
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(x, n) of the distinct values of a column, written once: what follows reads these instead of the table."""
+    return materialise(_values(df, column, []).groupBy("x").agg(F.count("*").alias("n")), "values")
 
-    Each round sends its two bounds, nothing else, to the driver.
-    """
-    x = _values(df, column, [])
-    kept = x
+
+def clip_bounds(counted: DataFrame, lower: float, upper: float, rounds: int, centre: str = "median") -> tuple[float, float]:
+    """The bounds that are left after repeatedly leaving out values farther from the centre than so many deviations; a round sends its few sums to the driver."""
+    low, high, before = -math.inf, math.inf, None
     for _ in range(rounds):
-        row = kept.agg(F.stddev_pop("x").alias("sd"), F.count("*").alias("n")).join(F.broadcast(quantiles(kept, "x", {"med": 0.5}))).collect()
-        if not row or row[0].sd is None:
-            break
-        lo, hi = row[0].med - sigma * row[0].sd, row[0].med + sigma * row[0].sd
-        new = kept.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        if new.count() == row[0].n:
+        kept = counted.where((F.col("x") >= low) & (F.col("x") <= high))
+        s = kept.agg(F.sum("n").alias("n"), F.try_divide(F.sum(F.col("n") * F.col("x")), F.sum("n")).alias("m")).first()
+        if not s.n or s.n == before:
             break
-        kept = new
-    return kept.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("*").alias("n")).join(F.broadcast(quantiles(kept, "x", {"median": 0.5})))
+        before = s.n
+        spread = kept.agg(F.sum(F.col("n") * F.pow(F.col("x") - s.m, F.lit(2))).alias("q")).first().q
+        sd = math.sqrt(max(0.0, spread / s.n))
+        mid = _middle(kept, s.n) if centre == "median" else s.m
+        low, high = mid - lower * sd, mid + upper * sd
+    return low, high
+
+
+def _middle(counted: DataFrame, n: int) -> float:
+    """The median of n counted values."""
+    seq = running_total(counted, [F.asc("x")], {"hi": "n"})
+    r = seq.agg(*[F.min(F.when(F.col("hi") > k, F.col("x"))).alias(f"m{i}") for i, k in enumerate(((n - 1) // 2, n // 2))]).first()
+    return (r.m0 + r.m1) / 2
+
+
+def sigma_clipped_stats(df: DataFrame, column: str, sigma: float = 3.0, rounds: int = 5) -> DataFrame:
+    """One row (mean, median, std, n) after repeatedly leaving out values farther than sigma deviations from the median."""
+    counted = value_counts(df, column)
+    low, high = clip_bounds(counted, sigma, sigma, rounds)
+    kept = counted.where((F.col("x") >= low) & (F.col("x") <= high))
+    n = F.sum("n")
+    one = kept.agg(F.sum(F.col("n") * F.col("x")).alias("t"), n.alias("n")).where("n > 0").select((F.col("t") / F.col("n")).alias("mean"), "n")
+    spread = kept.join(F.broadcast(one.select("mean"))).agg(F.sum(F.col("n") * F.pow(F.col("x") - F.col("mean"), F.lit(2))).alias("q"))
+    total = one.first()
+    median = _middle(kept, total.n) if total else None
+    return one.join(F.broadcast(spread)).select("mean", F.sqrt(F.col("q") / F.col("n")).alias("std"), "n", F.lit(median).cast("double").alias("median"))
 
 
 def jackknife_mean(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("evaluation", "statistics", "textual", "retrieval", "customers", "streams", "connectors", "kernels", "modelling", "rows", "intervals", "lexical", "indexing", "grouped", "purchase", "reading")
+MODULES: tuple[str, ...] = ("evaluation", "statistics", "textual", "retrieval", "customers", "streams", "connectors", "kernels", "modelling", "rows", "intervals", "lexical", "indexing", "grouped", "purchase", "reading", "running")
 
 
 def _gather(what: str) -> dict:

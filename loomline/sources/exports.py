@@ -126,3 +126,21 @@ def tool_results(df: DataFrame, key: str, text: str, score: str, longest: int =
     from ..functions.strings import clean_line
 
     return df.select(F.col(key).cast("string").alias("id"), clean_line(F.col(text), longest).alias("content"), score)
+
+
+def write_single(df: DataFrame, path: str, most: int = 1_000_000) -> int:
+    """Writes a small frame as one .parquet, .csv or .feather file; more rows than ``most`` raise. Returns the number of rows."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for one file")
+    write = {"parquet": rows.to_parquet, "csv": lambda p: rows.to_csv(p, index=False), "feather": rows.to_feather}
+    fmt = path.rsplit(".", 1)[-1]
+    if fmt not in write:
+        raise ValueError(f"unknown format {fmt!r}")
+    write[fmt](_local(path))
+    return len(rows)
+
+
+def vector_columns(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
+    """(id, v0, v1, ...): vectors as columns, the table form of an index; shorter vectors end in nulls."""
+    return df.select(F.col(key).alias("id"), *[F.get(F.col(vector), i).alias(f"v{i}") for i in range(dims)])
