@@ -93,6 +93,20 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
 
 
+def unicode_form(text: Column, form: str = "NFC") -> Column:
+    """Text in a normal form of Unicode: NFC, NFD, NFKC or NFKD. Pure ASCII never leaves the JVM."""
+    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError(f"unknown form {form!r}")
+
+    @F.pandas_udf(T.StringType())
+    def norm(s: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return s.map(lambda x: unicodedata.normalize(form, x) if x is not None else None)
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), norm(text)).otherwise(text)
+
+
 def casefold(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), _casefold(text)).otherwise(F.lower(text))
 

@@ -173,3 +173,15 @@ query(
 query("human_sizes", "select event_id, case when n < 1024 then format('{:.1f} B', n::double) when n < 1024 ** 2 then format('{:.1f} KB', n / 1024.0::double) when n < 1024 ** 3 then format('{:.1f} MB', n / 1048576.0::double) when n < 1024.0 ** 4 then format('{:.1f} GB', n / 1073741824.0::double) when n < 1024.0 ** 5 then format('{:.1f} TB', n / 1099511627776.0::double) else format('{:.1f} PB', n / 1125899906842624.0::double) end as size from (select event_id, ((event_id + 3) << ((event_id % 10 * 4)::int + 1)) + 1 as n from events)")(
     lambda s, d: t(s, d, "events").select("event_id", X.human_size(F.expr("shiftleft(event_id + 3, cast(event_id % 10 * 4 as int) + 1) + 1")).alias("size"))
 )
+query("unicode_nfc", "select doc_id, nfc_normalize(text) as clean from documents")(lambda s, d: docs(s, d).select("doc_id", X.unicode_form(F.col("text"), "NFC").alias("clean")))
+
+
+def _registered(s, d):
+    parts = H.Registry()
+    parts.add("tokenizer", "small", lambda c: F.regexp_extract_all(c, F.lit("([a-z]+)"), F.lit(1)))
+    parts.add("stemmer", "head", lambda w: F.substring(w, 1, 3))
+    x = L.enrich(docs(s, d).where("text is not null"), "text", parts.get("tokenizer", "small"), parts.get("stemmer", "head"))
+    return x.select("doc_id", "tokens", "stems")
+
+
+query("registered_parts", "select doc_id, t as tokens, list_transform(t, lambda w: w[1:3]) as stems from (select doc_id, regexp_extract_all(text, '[a-z]+') as t from documents where text is not null)")(_registered)

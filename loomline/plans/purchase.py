@@ -90,3 +90,21 @@ for _m, _p in {
 }.items():
     query(f"generate_{_m}")(lambda s, d, m=_m, p=_p: P.generate(s, m, 500, 52.0, p))
 query("generate_log")(lambda s, d: P.generate(s, "pareto", 300, 52.0, {"r": 0.55, "alpha": 10.6, "s": 0.6, "beta": 11.7}, log=True))
+
+# the series of the expectation, term by term
+ORACLE["expected_purchases"] = """with k as (select k, lgamma(0.24 + k) - lgamma(0.24) + lgamma(2.5 + k) - lgamma(2.5) - lgamma(2.3 + k) + lgamma(2.3) - lgamma(1.0 + k) as c from range(0, 3000) r(k)),
+ t as (select t, t / (4.4 + t)::double as z from range(1, 60) r(t)), f as (select t, sum(exp(c + k * ln(z))) as f from t, k group by 1)
+ select t, round(2.3::double / (0.8::double - 1) * (1 - pow(4.4::double / (4.4 + t), 0.24::double) * f), 6) as n from f"""
+query(
+    "period_arithmetic",
+    "select o_orderkey, cast(date_trunc('month', o_orderdate) as date) as month, cast(date_trunc('quarter', o_orderdate) as date) as quarter, datediff('month', date '1992-01-01', cast(o_orderdate as date))::int as months, datediff('day', date '1992-01-01', cast(o_orderdate as date))::int as days, cast(cast(o_orderdate as date) + interval 3 month as date) as later from orders",
+)(
+    lambda s, d: orders(s, d).select(
+        "o_orderkey",
+        F.trunc("o_orderdate", "month").alias("month"),
+        F.trunc("o_orderdate", "quarter").alias("quarter"),
+        ((F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1).alias("months"),
+        F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("days"),
+        F.add_months(F.col("o_orderdate").cast("date"), 3).alias("later"),
+    )
+)

@@ -304,3 +304,14 @@ query("tool_results", "select o_orderkey::varchar as id, case when length(o_orde
 query("bad_bytes", "select n_nationkey || '.md' as input_path, case when n_nationkey < 3 then 'failed' else 'read' end as state from nation")(
     lambda s, d: D.read_documents(files(s, [(f"{r.n_nationkey}.md", (r.n_name * (99 if r.n_nationkey < 3 else 1)).encode()) for r in nations(s, d)]), max_bytes=99).select("input_path", F.when(F.col("error").isNull(), "read").otherwise("failed").alias("state"))
 )
+
+
+def _own_suffix(s, d):
+    p = folder(s, "own")
+    with open(f"{p}/t.pairs", "w") as f:
+        f.writelines(f"{r.n_nationkey}={r.n_name}\n" for r in nations(s, d))
+    R.register_loader(".pairs", lambda spark, path, **_o: spark.read.text(path).select(F.split("value", "=")[0].cast("int").alias("n_nationkey"), F.split("value", "=")[1].alias("n_name")), override=True)
+    return R.load_data(s, f"file://{p}/t.pairs")
+
+
+query("registered_loader", "select n_nationkey, n_name from nation")(_own_suffix)

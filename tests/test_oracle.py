@@ -73,7 +73,6 @@ HOLDS = {
     "stop_word_lists": lambda rows: all(r["n"] > 50 for r in rows),
     "keep_within": lambda rows: all(0 < len(r["chunk"].split()) <= 24 for r in rows),
     "sentence_offsets": lambda rows: all(r["char_end"] - r["char_start"] == len(r["chunk"]) for r in rows),
-    "expected_purchases": lambda rows: [r["n"] for r in sorted(rows)] == sorted(r["n"] for r in rows),
     "knuth_bins": lambda rows: rows[0]["bins"] >= 1,
     "kmeans_elbow": lambda rows: [r["inertia"] for r in sorted(rows, key=lambda r: -r["k"])] == sorted(r["inertia"] for r in rows),
     "pca_components": lambda rows: all(len(r["components"]) == 2 for r in rows),
