@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,6 +28,11 @@ def local_session(cores: int = 8, app: str = "loomline") -> SparkSession:
     )
 
 
+#: Tables written for later steps, and temporary folders of sessions in one process.
+_WRITTEN: list[str] = []
+_OWN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares between executors.
 
@@ -39,13 +45,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomline-")
+        _OWN.append(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/loomline-{name}-{uuid.uuid4().hex}"
 
 
-_WRITTEN: list[str] = []
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor costs nothing.
 
@@ -84,6 +88,10 @@ def _tidy() -> None:
             _delete(spark, _WRITTEN)
         except Exception:  # noqa: BLE001 - the session may be gone already
             pass
+    # without a session only local paths can be reached
+    for p in [*_WRITTEN, *_OWN]:
+        if p.startswith("file:"):
+            shutil.rmtree(p.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
 
 
 def spread(df: DataFrame) -> DataFrame:
