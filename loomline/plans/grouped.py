@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grouped as G
 from ..operators import metrics as M
+from ..operators import modeling as K
 from .evaluation import TIES, multiclass, rounded, scored, t
 
 QUERIES: dict = {}
@@ -124,3 +125,14 @@ ORACLE["selection_summary"] = (
 ORACLE["calibration_holdout_means"] = """with p as (select o_custkey as customer, cast(date_trunc('day', o_orderdate) as date) as period from orders where cast(o_orderdate as date) <= date '1999-12-31' group by 1, 2),
  o as (select customer, count(*) - 1 as frequency from p group by 1), h as (select o_custkey as customer, count(distinct date_trunc('day', o_orderdate)) as fh from orders where cast(o_orderdate as date) > date '1999-12-31' and cast(o_orderdate as date) <= date '2001-06-30' group by 1)
  select frequency, avg(coalesce(fh, 0)) as holdout, count(*) as n from o left join h using (customer) group by 1"""
+query("cv_confusion_keys", "with c as (select (l_orderkey % 5)::int as fold, l_returnflag as truth, l_linestatus as pred, count(*) as n from lineitem group by 1, 2, 3) select fold, truth, pred, n, round(n / sum(n) over (partition by fold, truth), 6) as share from c")(
+    lambda s, d: rounded(K.confusion_by_fold(scored(s, d), (F.col("l_orderkey") % 5).cast("int"), "l_returnflag", "l_linestatus"), "share")
+)
+ORACLE["impute_neighbours"] = """with e as (select vec_id, embedding::double[] as v, case when vec_id % 100 <> 0 then label end as label from embeddings),
+ p as (select a.vec_id, b.label, row_number() over (partition by a.vec_id order by round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 8) desc, b.vec_id) as r from e a, e b where a.label is null and b.label is not null),
+ f as (select vec_id, avg(label) as f from p where r <= 5 group by 1)
+ select vec_id, coalesce(label::double, f) as label from e left join f using (vec_id)"""
+ORACLE["knuth_bins"] = """with s as (select count(*) as n, min(o_totalprice) as lo, max(o_totalprice) as hi from orders where o_totalprice is not null), m as (select m from range(1, 121) r(m)),
+ c as (select m, least(m - 1, floor((o_totalprice - lo) / (hi - lo) * m)) as b, count(*) as k from orders, s, m where o_totalprice is not null group by 1, 2),
+ g as (select m, sum(lgamma(k + 0.5::double) - lgamma(0.5::double)) as g from c group by 1), z as (select m, n * ln(m) + lgamma(m / 2.0::double) - lgamma(n + m / 2.0::double) + g as score from g, s)
+ select m::int as bins from z order by score desc, m limit 1"""

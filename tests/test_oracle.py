@@ -73,10 +73,8 @@ HOLDS = {
     "stop_word_lists": lambda rows: all(r["n"] > 50 for r in rows),
     "keep_within": lambda rows: all(0 < len(r["chunk"].split()) <= 24 for r in rows),
     "sentence_offsets": lambda rows: all(r["char_end"] - r["char_start"] == len(r["chunk"]) for r in rows),
-    "knuth_bins": lambda rows: rows[0]["bins"] >= 1,
     "kmeans_elbow": lambda rows: [r["inertia"] for r in sorted(rows, key=lambda r: -r["k"])] == sorted(r["inertia"] for r in rows),
     "pca_components": lambda rows: all(len(r["components"]) == 2 for r in rows),
-    "impute_neighbours": lambda rows: all(r["label"] is not None for r in rows),
     "hashing_embeddings": lambda rows: all(len(r["embedding"]) == 32 and sum(v * v for v in r["embedding"]) < 1.001 for r in rows),
     "normalize_text": lambda rows: all(r["clean"] is None or len(r["clean"]) >= 10 and r["clean"] == r["clean"].strip() for r in rows),
     "merge_similar": lambda rows: all(r["chunk"] for r in rows),
