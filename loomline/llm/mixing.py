@@ -206,7 +206,7 @@ def p8_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = F.broadcast(t).join(n, "source", "left").na.fill(0, ["n_available"])
     live = F.when(F.col("n_available") > 0, F.col("target_share"))
     share = live / F.sum(live).over(Window.partitionBy("mix_id"))
-    return full.select("mix_id", "source", "n_available", share.alias("share_among_present"))
+    return full.select("mix_id", "source", "n_available", F.round(share, 9).alias("share_among_present"))
 
 
 ORACLE = {
@@ -214,7 +214,7 @@ ORACLE = {
         with n as (select lower(trim(source)) as source, count(*) as n_available from documents where length(text) > 0 group by 1),
         t as (select mix_id, lower(trim(m.source)) as source, target_share, coalesce(n_available, 0) as n_available
               from mix_targets m left join n on n.source = lower(trim(m.source)))
-        select mix_id, source, n_available, case when n_available > 0 then target_share end
-               / sum(case when n_available > 0 then target_share end) over (partition by mix_id) as share_among_present from t""",
+        select mix_id, source, n_available, round(case when n_available > 0 then target_share end
+               / sum(case when n_available > 0 then target_share end) over (partition by mix_id), 9) as share_among_present from t""",
 }
 QUERIES = {"p8_selection": p8_selection, "p8_shares": p8_shares, "p8_present": p8_present}

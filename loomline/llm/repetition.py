@@ -262,6 +262,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_repetition(texts_of(spark, sf_dir), least=0.3).where("repeated_share >= 0.3").select("doc_id")
 
 
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and repeated share of every document."""
+    return p9_scores(spark, sf_dir).select("doc_id", "n_words", F.round("repeated_share", 9).alias("repeated_share"))
+
+
 ORACLE = {
     "p9_found": """
         with split as (
@@ -275,4 +280,9 @@ ORACLE = {
         hit as (select distinct doc_id, n, unnest(range(i, i + 8)) as at from again where rep)
         select doc_id from hit group by doc_id, n having count(*) / n >= 0.3""",
 }
-QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores}
+# the same runs, for every document
+ORACLE["p9_shares"] = ORACLE["p9_found"].replace(
+    "select doc_id from hit group by doc_id, n having count(*) / n >= 0.3",
+    "select d.doc_id, coalesce(len(s.w), 0) as n_words, round(coalesce(h.k / len(s.w), 0), 9) as repeated_share from documents d left join split s using (doc_id) left join (select doc_id, count(*) as k from hit group by 1) h using (doc_id)",
+)
+QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_shares": p9_shares}
