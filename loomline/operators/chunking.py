@@ -94,45 +94,26 @@ SMALL_VOCABULARY = 200_000
 def keywords(df: DataFrame, key: str, text: str, top: int = 5, idf: bool = False) -> DataFrame:
     """(key, token, score, rank): the most frequent tokens of each document, or those with the highest tf-idf; ties by token.
 
-    Terms are counted inside each row, so no token of a text is shuffled by
-    itself. Document frequencies meet the rows by broadcast while there are few,
-    else in a join whose frequent tokens are salted.
+    A document's repeated tokens combine before the shuffle. Document
+    frequencies meet the rows by broadcast while there are few, else in a join
+    whose frequent tokens are salted.
     """
     words = X.tokens(F.col(text), False)
-    w = df.select(F.col(key).alias("_k"), words.alias("t")).where("t is not null")
-    per = w.select("_k", F.size("t").alias("dl"), F.explode(_counted(F.col("t"))).alias("e")).select("_k", "dl", F.col("e.token").alias("token"), F.col("e.tf").alias("tf"))
+    per = df.select(key, words.alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     if idf:
         n = df.agg(F.count("*").alias("docs"))
-        seen = per.groupBy("token").agg(F.count("*").alias("df"))
+        seen = vocabulary(df, text).select("token", F.col("docs").alias("df"))
         if seen.limit(SMALL_VOCABULARY + 1).count() <= SMALL_VOCABULARY:
             per = per.join(F.broadcast(seen), "token")
         else:
             salts = 16
             seen = seen.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            per = per.withColumn("s", F.pmod(F.xxhash64("_k"), F.lit(salts)).cast("int")).join(seen, ["token", "s"]).drop("s")
+            per = per.withColumn("s", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(seen, ["token", "s"]).drop("s")
         per = per.join(F.broadcast(n)).withColumn("score", F.round(F.col("tf") / F.col("dl") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1), 8))
     else:
         per = per.withColumn("score", F.col("tf").cast("double"))
-    # a document's best tokens: its terms combine in one aggregate, and never meet those of another
-    best = per.groupBy("_k").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "token"))), 1, top).alias("b"))
-    got = best.select("_k", F.posexplode("b").alias("i", "e"))
-    return got.select(F.col("_k").alias(key), F.col("e.token").alias("token"), (-F.col("e.minus")).alias("score"), (F.col("i") + 1).alias("rank"))
-
-
-def _counted(tokens: Column) -> Column:
-    """(token, tf) of an array of tokens, by one pass over it in order."""
-    start = F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("tf"), F.array().cast("array<struct<token:string,tf:int>>").alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = acc["token"].eqNullSafe(x)
-        more = F.struct(acc["token"].alias("token"), (acc["tf"] + 1).alias("tf"), acc["done"].alias("done"))
-        closed = F.when(acc["token"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["token"].alias("token"), acc["tf"].alias("tf"))))
-        return F.when(same, more).otherwise(F.struct(x.alias("token"), F.lit(1).alias("tf"), closed.alias("done")))
-
-    def close(acc: Column) -> Column:
-        return F.when(acc["token"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["token"].alias("token"), acc["tf"].alias("tf"))))
-
-    return F.aggregate(F.array_sort(tokens), start, step, close)
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "token")
+    return per.select(key, "token", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= top)
 
 
 def parse_subtitles(df: DataFrame, key: str, text: str) -> DataFrame:
