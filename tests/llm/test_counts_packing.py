@@ -321,3 +321,38 @@ def test_labels_are_sorted_prefixes():
     assert (keys == longer).all() and (keys[:3] == keys[3:]).all()
     assert len({tuple(k) for k in keys.tolist()}) == 3
     assert neardup.recall_at(0.6, *neardup.plan_forest(300_000)[1::-1]) >= neardup.RECALL
+
+
+def test_many_trees_take_little_disk_at_once(spark, monkeypatch):
+    from loomline import session
+
+    plan, pairs = neardup.plan_forest(12_000_000), neardup.node_pairs
+    widths = []
+
+    def watched(classes, *args):
+        widths.append(classes.selectExpr("max(size(nodes))").first()[0])
+        return pairs(classes, *args)
+
+    monkeypatch.setattr(neardup, "plan_forest", lambda *_: plan)
+    monkeypatch.setattr(neardup, "node_pairs", watched)
+    df = corpus(spark)
+    written = len([p for p in session._WRITTEN if "loomline-signed-" in p])
+    members, links = neardup.near_duplicates(df, df.count())
+    got = {(r.doc_id_a, r.doc_id_b) for r in neardup.document_pairs(members, links).collect()}
+    want = brute_pairs(df)
+    assert got <= want and len(got & want) / len(want) >= 0.98
+    assert sum(widths) == plan[0] > 100 and max(widths) <= 32
+    assert len([p for p in session._WRITTEN if "loomline-signed-" in p]) == written
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from loomline import session
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString(" ").split() if "shuffle_" in x}
+    before = files()
+    kept = session.materialise(spark.range(5000).selectExpr("id % 700 as k").groupBy("k").count(), "test")
+    assert not files() - before
+    assert kept.count() == 700
+    session.discard(kept)
+    assert not [p for p in session._WRITTEN if "loomline-test-" in p]
