@@ -19,12 +19,14 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .corpus import FitSample, fit_sample, latest, of_latest, states, table
+from ..session import materialise, spread
+from .corpus import Tally, chunks, latest, of_latest, states, table
 
 #: Encodings that text is wrongly read with, and encodings that it was written in.
 WRONG = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "koi8-r", "cp866", "iso8859-2", "iso8859-15", "cp1256")
@@ -32,6 +34,8 @@ MEANT = ("utf-8", "cp1252", "cp1250", "cp1251", "cp1254", "koi8-r", "cp866", "is
 MULTIBYTE = frozenset(("utf-8", "gb18030", "euc-jp", "shift_jis", "big5"))
 _TRIM = re.compile(r"^[\x00-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x40\x5b-\x60\x7b-\x7f]+$")
 LAYERS = 3
+#: Occurrences, in this many texts, from which a character or pair counts as usual (what is rarer may itself be a slip), and occurrences that are added to those of a pair's first character. Both grow with the texts.
+FEW, SMOOTH, PER_TEXTS = 3, 20, 30000
 MEMORY = 200_000
 
 
@@ -110,6 +114,12 @@ def stored_at(places: list[Place], at: int) -> int:
     return p.start + (_edges(p.run, p.path)[inside] if inside < p.size else len(p.run) + inside - p.size)
 
 
+def _readings(t: str) -> tuple[str, ...]:
+    """A text as its characters are counted: blanks as one space, with spaces around; in either case too, if it isn't ASCII."""
+    x = " " + re.sub(r"[\x00-\x20]+", " ", t) + " "
+    return (x,) if t.isascii() else (x, x.lower(), x.upper())
+
+
 @dataclass
 class GarbleModel:
     """Character bigram code lengths of clean text, in bits."""
@@ -126,17 +136,20 @@ class GarbleModel:
         two: Counter[str] = Counter()
         one: Counter[str] = Counter()
         for t in texts:
-            s = " " + re.sub(r"[\x00-\x20]+", " ", t) + " "
-            for x in (s, s.lower(), s.upper()) if t.isascii() is False else (s,):
+            for x in _readings(t):
                 one.update(x)
                 two.update(map(str.__add__, x[:-1], x[1:]))
-        total = sum(one.values())
-        least = 3  # what occurs once or twice may itself be a slip
-        singles = {c: -math.log2(n / total) for c, n in one.items() if n >= least}
         lead = Counter()
         for p, n in two.items():
             lead[p[0]] += n
-        pairs = {p: -math.log2(n / (lead[p[0]] + 20)) for p, n in two.items() if n >= least}
+        return cls.of_counts(two, one, lead, sum(one.values()), len(texts))
+
+    @classmethod
+    def of_counts(cls, two: dict[str, int], one: dict[str, int], lead: dict[str, int], total: int, texts: int) -> GarbleModel:
+        """The model of the counts of pairs, of characters, of pairs by their first character, of all characters and of the texts."""
+        scale = max(1, texts / PER_TEXTS)
+        singles = {c: -math.log2(n / total) for c, n in one.items() if n >= FEW * scale}
+        pairs = {p: -math.log2(n / (lead[p[0]] + SMOOTH * scale)) for p, n in two.items() if n >= FEW * scale}
         return cls(pairs, singles, 22.0)
 
     def cost(self, s: str) -> float:
@@ -244,9 +257,59 @@ class GarbleModel:
         return text, "lost" if "�" in text else None, places
 
 
-def fit_garble_model(sample: FitSample, rows: int = 3000) -> GarbleModel:
-    """Fits the bigram model on the first ``rows`` texts of a bounded sample of the documents table."""
-    return GarbleModel.fit(sorted(sample.text[:rows]))
+#: Bits of a code point in a pair's number, and the numbers under which texts and their readings are counted.
+_BITS = 21
+_TEXTS, _READINGS = -1, -2
+
+
+def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(pair, n): how often each pair of neighbouring characters occurs in all texts, as the first's code point times 2**21 plus the second's; under negative numbers, how many texts and readings there are."""
+
+    def run(batches):
+        wide, plain, many = Tally(), np.zeros((128, 128), np.int64), [0, 0]
+
+        def out(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
+
+        for b in batches:
+            texts = [t for t in b.column(0).to_pylist() if t is not None]
+            many[0] += len(texts)
+            for lo, hi in chunks(texts):
+                every = [x for t in texts[lo:hi] for x in _readings(t)]
+                many[1] += len(every)
+                # NUL is in no reading, and keeps them apart
+                cp = np.frombuffer("\0".join(every).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                a, z = cp[:-1], cp[1:]
+                low = (a | z) < 128
+                plain += np.bincount(a[low] * 128 + z[low], minlength=1 << 14).reshape(128, 128)
+                rest = ~low & (a > 0) & (z > 0)
+                wide.add(a[rest] << _BITS | z[rest])
+                if wide.full():
+                    yield out(*wide.take())
+        plain[0] = plain[:, 0] = 0
+        a, z = np.nonzero(plain)
+        yield out(*wide.take())
+        yield out(a << _BITS | z, plain[a, z])
+        yield out(np.array([_TEXTS, _READINGS]), np.array(many))
+
+    return df.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def fit_garble_model(spark: SparkSession, sf_dir: str) -> GarbleModel:
+    """Fits the bigram model on every text of the documents table. Only what is usual comes to the driver, however many texts there are."""
+    counts = materialise(pair_counts(spread(table(spark, sf_dir, "documents").select("text"))), "pairs")
+    many = {r.pair: r.n for r in counts.where("pair < 0").collect()}
+    texts, readings = many.get(_TEXTS, 0), many.get(_READINGS, 0)
+    if not texts:
+        return GarbleModel.fit([])
+    real = counts.where("pair >= 0")
+    by = lambda c: {chr(r[0]): r[1] for r in real.groupBy(c.alias("c")).agg(F.sum("n")).collect()}
+    one, lead = by(F.col("pair").bitwiseAND((1 << _BITS) - 1)), by(F.shiftright("pair", _BITS))
+    # the space that a reading begins with is the second of no pair
+    one[" "] = one.get(" ", 0) + readings
+    got = real.where(F.col("n") >= FEW * max(1, texts / PER_TEXTS)).toArrow()
+    two = {chr(p >> _BITS) + chr(p & (1 << _BITS) - 1): n for p, n in zip(got["pair"].to_pylist(), got["n"].to_pylist())}
+    return GarbleModel.of_counts(two, one, lead, sum(one.values()), texts)
 
 
 def repair_texts(df: DataFrame, model: GarbleModel, *columns: str) -> DataFrame:
@@ -332,7 +395,7 @@ def decode_files(df: DataFrame, model: GarbleModel, raw: str = "raw_head", encod
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current records with garbled text or title, and files whose stated encoding misreads their bytes."""
-    model = fit_garble_model(fit_sample(spark, sf_dir, 3000))
+    model = fit_garble_model(spark, sf_dir)
     df = states(spark, sf_dir, title=True)
     odd = F.coalesce(F.col("text").rlike(UNUSUAL), F.lit(False)) | F.coalesce(F.col("source_title").rlike(UNUSUAL), F.lit(False))
     # a state without unusual characters only has to say that it is there, without its text
@@ -346,7 +409,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and title of garbled current records after repair; only garbled states leave their task."""
-    model = fit_garble_model(fit_sample(spark, sf_dir, 3000))
+    model = fit_garble_model(spark, sf_dir)
     got = repair_texts(states(spark, sf_dir, title=True), model, "text", "source_title")
     got = got.where("text_garbling is not null or source_title_garbling is not null")
     cols = ("text_repaired", "text_garbling", "source_title_repaired", "source_title_garbling")
@@ -355,7 +418,7 @@ def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The head of each file that its stated encoding misreads: as read, and restored."""
-    model = fit_garble_model(fit_sample(spark, sf_dir, 3000))
+    model = fit_garble_model(spark, sf_dir)
     files = table(spark, sf_dir, "reader_files").select("input_path", "encoding", "raw_head")
     return decode_files(files, model).where("garbling is not null").distinct()
 

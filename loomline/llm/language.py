@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .corpus import FitSample, fit_sample, language_label, language_names, latest, of_latest, states
+from .corpus import FitSample, chunks, fit_sample, language_label, language_names, latest, of_latest, states
 from .encoding import GarbleModel, fit_garble_model, stored_at
 
 CODE = "code"
 SLOT_BITS = 18
-CHUNK_CHARS = 1 << 18
 #: A language keeps an n-gram if its documents have it at least this often, against the language that has it most.
 KEEP_RATE = 0.12
 MIN_SHARE = 0.45
@@ -243,18 +242,6 @@ class LanguageFilter:
         return {"sure": sure, "doc": doc, "start": starts - at0, "end": np.minimum(ends - at0, size[doc] - 1), "cls": np.where(known, best, -1), "conf": conf}
 
 
-def chunks(texts: list[str], limit: int = CHUNK_CHARS):
-    """Ranges of a batch with about ``limit`` characters each; a longer text is a range of its own."""
-    a = n = 0
-    for i, t in enumerate(texts):
-        if n and n + len(t) > limit:
-            yield a, i
-            a, n = i, 0
-        n += len(t) + 1
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def fit_language_filter(spark: SparkSession, sf_dir: str, sample: FitSample | None = None) -> LanguageFilter:
     """Fits a filter on a bounded sample of the labelled documents table; rows of section type code make the class of code."""
     codes = language_names(spark, sf_dir)
@@ -398,7 +385,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_language_filter(spark, sf_dir, sample)
     codes = language_names(spark, sf_dir)
     df = states(spark, sf_dir, "language").select("doc_id", "stored_at", language_label(F.col("language"), codes).alias("label"), "text")
-    tagged = tag_documents(df, model, garble=fit_garble_model(sample)).select("doc_id", "stored_at", "label", "languages_mask")
+    tagged = tag_documents(df, model, garble=fit_garble_model(spark, sf_dir)).select("doc_id", "stored_at", "label", "languages_mask")
     own = F.lit(0).cast("long")
     for k, c in enumerate(model.classes[:-1]):
         own = F.when(F.col("label") == c, F.lit(1 << k).cast("long")).otherwise(own)
@@ -412,7 +399,7 @@ def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = fit_sample(spark, sf_dir)
     model = fit_language_filter(spark, sf_dir, sample)
     df = states(spark, sf_dir).where("text is not null").select(F.struct("doc_id", "stored_at").alias("state"), "text")
-    got = tag_passages(df, model, key="state", garble=fit_garble_model(sample)).select("state.*", *PASSAGE)
+    got = tag_passages(df, model, key="state", garble=fit_garble_model(spark, sf_dir)).select("state.*", *PASSAGE)
     return of_latest(spark, sf_dir, got, "doc_id", "passage_no").select("doc_id", *PASSAGE)
 
 

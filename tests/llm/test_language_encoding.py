@@ -133,3 +133,53 @@ def test_files(spark, fitted):
     got = {r.input_path: r.garbling for r in encoding.decode_files(df, fitted[1]).collect()}
     assert set(got) == {"ok", "cut", "bad", "mis", "odd"}
     assert got["ok"] is None and got["cut"] is None and got["bad"] == got["odd"] == "undecodable" and "utf-8" in got["mis"]
+
+
+def table_of_texts(spark, sf, tmp_path, n=9000):
+    """A folder like the test tables, with n documents, and the texts and labels of these."""
+    from pathlib import Path
+
+    rng = random.Random(5)
+    pools = [("en", EN), ("de", DE), ("French", FR), ("ru", RU), ("zh", ZH)]
+    rows = []
+    for i in range(n):
+        lang, pool = rng.choice(pools)
+        rows.append((i, " ".join(rng.sample(pool, 2)) + f" {chr(0x3b1 + i % 24)}{i}", lang if rng.random() > 0.05 else None, "code" if i % 50 == 0 else "text"))
+    rows += [(n, None, "en", "text"), (n + 1, "", "en", None), (n + 2, "short\0text", "de", "text")]
+    for p in Path(sf).glob("*.parquet"):
+        if p.stem != "documents":
+            (tmp_path / p.name).symlink_to(p)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, section_type string").write.parquet(str(tmp_path / "documents.parquet"))
+    return rows
+
+
+def test_garbling_is_fitted_on_every_text(spark, sf, tmp_path, monkeypatch):
+    rows = table_of_texts(spark, sf, tmp_path)
+    used, flags = [], encoding.garbled_flags
+    monkeypatch.setattr(encoding, "garbled_flags", lambda df, model, *c: (used.append(model), flags(df, model, *c))[1])
+    encoding.p6_found(spark, str(tmp_path))
+    assert used == [encoding.GarbleModel.fit([r[1] for r in rows if r[1] is not None])]
+
+
+def test_counts_are_summed_in_the_worker(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(corpus, "HELD", 40)
+    t, got = corpus.Tally(), {}
+    rng = np.random.default_rng(3)
+    every = [rng.integers(0, 90, 30) for _ in range(50)]
+    for keys in every:
+        t.add(keys)
+        if t.full():
+            for k, n in zip(*t.take()):
+                got[k] = got.get(k, 0) + n
+        assert t.size <= 40 + 90
+    for k, n in zip(*t.take()):
+        got[k] = got.get(k, 0) + n
+    k, n = np.unique(np.concatenate(every), return_counts=True)
+    assert got == dict(zip(k, n)) and not len(t.take()[0])
+
+
+def test_what_is_usual_grows_with_the_texts():
+    few, many = (encoding.GarbleModel.fit(EN * n + ["ž"] * 2) for n in (20, 20_000))
+    assert "ž" in few.singles and "ž" not in many.singles
