@@ -13,24 +13,31 @@ language. Everything runs on whole Arrow batches in numpy.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .corpus import FitSample, chunks, fit_sample, language_label, language_names, latest, of_latest, states
+from ..session import materialise, spread
+from .corpus import Tally, chunks, language_label, language_names, latest, of_latest, states, table
 from .encoding import GarbleModel, fit_garble_model, stored_at
 
 CODE = "code"
 SLOT_BITS = 18
 #: A language keeps an n-gram if its documents have it at least this often, against the language that has it most.
 KEEP_RATE = 0.12
+#: A language keeps an n-gram that at least two of its documents have, and at least this share of them; one document is enough for a language of fewer than SMALL.
+COMMON = 0.001
+SMALL = 20
+#: Texts up to this length aren't fitted on.
+SHORT = 40
+#: Times that texts which the filter reads otherwise may change their label, and once more.
+ROUNDS = 2
 MIN_SHARE = 0.45
 #: Confidence from which a sentence counts as one written in a language, and from which a plain one does: with letters enough and few signs of code, links or tables.
 SURE = 0.7
@@ -98,6 +105,23 @@ def grams(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, at
 
 
+def gram_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted hashes of the different n-grams of each of a few texts."""
+    if not texts:
+        return []
+    # NUL is no letter: it ends a word as the border of a text does
+    h, at = grams(_points("\0".join(texts)))
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), at, side="right")
+    key = np.unique(doc.astype(np.uint64) << np.uint64(32) | h)
+    borders = np.searchsorted(key, np.arange(1, len(texts), dtype=np.uint64) << np.uint64(32))
+    return np.split(key.astype(np.uint32), borders)
+
+
+def least_documents(n: int) -> float:
+    """Documents of a class of n that an n-gram must be in."""
+    return 1 if n < SMALL else max(2, COMMON * n)
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -112,6 +136,14 @@ def _lanes() -> np.ndarray:
     return out
 
 
+def class_names(labels: set[str]) -> list[str]:
+    """The classes of a filter: the languages in order, and code."""
+    classes = sorted(labels - {CODE}) + [CODE]
+    if len(classes) > MOST_LANGUAGES:
+        raise ValueError(f"{len(classes) - 1} languages are more than {MOST_LANGUAGES - 1}")
+    return classes
+
+
 @dataclass
 class LanguageFilter:
     """A fitted filter: slots of both hashes by words of sixteen classes. ``classes`` ends with the class of code."""
@@ -138,13 +170,11 @@ class LanguageFilter:
         return cls(classes, one, two, np.array(fill))
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str | None], rounds: int = 2) -> LanguageFilter:
+    def fit(cls, texts: list[str], labels: list[str | None], rounds: int = ROUNDS) -> LanguageFilter:
         """Fits on labelled texts. Labels may be wrong here and there: a rarely seen n-gram of a class is left out, and after each round texts that the filter reads otherwise change their label."""
-        classes = sorted({x for x in labels if x and x != CODE}) + [CODE]
-        if len(classes) > MOST_LANGUAGES:
-            raise ValueError(f"{len(classes) - 1} languages are more than {MOST_LANGUAGES - 1}")
+        classes = class_names({x for x in labels if x})
         number = {c: k for k, c in enumerate(classes)}
-        seen = [np.unique(grams(_points(t))[0]) for t in texts]
+        seen = [x for a, z in chunks(texts) for x in gram_sets(texts[a:z])]
         now = np.array([number.get(x, -1) if x else -1 for x in labels])
         model = None
         for _ in range(rounds):
@@ -156,14 +186,18 @@ class LanguageFilter:
                 rows.append(np.concatenate(own) if own else np.zeros(0, np.uint32))
             every, where = np.unique(np.concatenate(rows), return_inverse=True)
             cls_of = np.repeat(np.arange(len(classes)), [len(r) for r in rows])
-            df = np.bincount(cls_of * len(every) + where, minlength=len(classes) * len(every)).reshape(len(classes), -1).astype(np.float32)
-            rate = df / n[:, None].astype(np.float32)
-            keep = (rate >= KEEP_RATE * rate.max(axis=0)) & ((df >= 2) | (n[:, None] < 20) & (df >= 1))
+            df = np.bincount(cls_of * len(every) + where, minlength=len(classes) * len(every)).reshape(len(classes), -1)
+            rate = df / n[:, None]
+            keep = (rate >= KEEP_RATE * rate.max(axis=0)) & (df >= np.array([least_documents(x) for x in n])[:, None])
             model = cls.build(classes, {k: every[keep[k]] for k in range(len(classes))})
-            found = model.whole(seen)
-            now = np.where((found >= 0) & (now >= 0) & (now != number[CODE]), found, now)
+            now = model.relabelled(seen, now)
         return model
 
+    def relabelled(self, seen: list[np.ndarray], now: np.ndarray) -> np.ndarray:
+        """The classes of texts by this filter where it reads them clearly; code and texts without a class stay."""
+        found = self.whole(seen)
+        return np.where((found >= 0) & (now >= 0) & (now != len(self.classes) - 1), found, now)
+
     def masks(self, h: np.ndarray) -> list[np.ndarray]:
         """Bitmasks of the classes that contain each n-gram, in words of sixteen classes."""
         a, b = self._slots(h)
@@ -242,22 +276,58 @@ class LanguageFilter:
         return {"sure": sure, "doc": doc, "start": starts - at0, "end": np.minimum(ends - at0, size[doc] - 1), "cls": np.where(known, best, -1), "conf": conf}
 
 
-def fit_language_filter(spark: SparkSession, sf_dir: str, sample: FitSample | None = None) -> LanguageFilter:
-    """Fits a filter on a bounded sample of the labelled documents table; rows of section type code make the class of code."""
-    codes = language_names(spark, sf_dir)
-    isos = set(codes.values())
-    sample = sample or fit_sample(spark, sf_dir)
+def gram_counts(df: DataFrame, classes: list[str], model: LanguageFilter | None = None) -> DataFrame:
+    """(cls, gram, n): how many of the texts of a class have an n-gram, and with gram null how many texts it has. With a ``model``, texts are of the class that it reads."""
+    number = F.create_map(*[F.lit(x) for k, c in enumerate(classes) for x in (c, k)])
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        tally, n = Tally(), np.zeros(len(classes), np.int64)
 
-    def label(lang: str | None, section: str | None) -> str | None:
-        if section == "code":
-            return CODE
-        low = (lang or "").strip().lower()
-        head = re.match(r"([a-z]+)[-_]", low)
-        return codes.get(low) or (head[1] if head and head[1] in isos else None)
+        def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys >> 32, pa.int32()), pa.array(keys & 0xFFFFFFFF, pa.int64()), pa.array(counts, pa.int64())], names=["cls", "gram", "n"])
 
-    rows = [(t, label(x, k)) for t, x, k in zip(sample.text, sample.lang, sample.section) if len(t) > 40]
-    rows = sorted(r for r in rows if r[1])
-    return LanguageFilter.fit([t for t, _ in rows], [x for _, x in rows])
+        for b in batches:
+            texts, labels = b.column(0).to_pylist(), b.column(1).to_numpy()
+            for a, z in chunks(texts):
+                seen, now = gram_sets(texts[a:z]), labels[a:z]
+                if m is not None:
+                    now = m.relabelled(seen, now)
+                n += np.bincount(now, minlength=len(classes))
+                tally.add(np.repeat(now.astype(np.int64) << 32, [len(x) for x in seen]) | np.concatenate(seen))
+                if tally.full():
+                    yield out(*tally.take())
+        yield out(*tally.take())
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.nulls(len(n), pa.int64()), pa.array(n)], names=["cls", "gram", "n"])
+
+    rows = df.select("text", F.element_at(number, F.col("label")).alias("cls"))
+    return rows.mapInArrow(run, "cls int, gram long, n long").groupBy("cls", "gram").agg(F.sum("n").alias("n"))
+
+
+def fit_on(docs: DataFrame, rounds: int = ROUNDS) -> LanguageFilter:
+    """``LanguageFilter.fit`` on every row of a table of any size with text and label. Only the n-grams that a class keeps come to the driver: their number is bounded by the share of documents that have them."""
+    labels = {r.label for r in docs.select("label").distinct().collect() if r.label}
+    classes = class_names(labels)
+    docs = docs.where(F.col("label").isNotNull() & (F.length("text") > SHORT))
+    model = None
+    for _ in range(rounds):
+        counts = materialise(gram_counts(docs, classes, model), "grams")
+        n = dict.fromkeys(range(len(classes)), 1) | {r.cls: max(1, r.n) for r in counts.where("gram is null").collect()}
+        of = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("cls") + 1)
+        rated = counts.where("gram is not null").withColumn("rate", F.col("n") / of(n.values()))
+        rated = rated.withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
+        kept = rated.where((F.col("rate") >= KEEP_RATE * F.col("top")) & (F.col("n") >= of(map(least_documents, n.values()))))
+        got = kept.select("cls", "gram").toArrow()
+        cls, gram = got["cls"].to_numpy(), got["gram"].to_numpy().astype(np.uint32)
+        model = LanguageFilter.build(classes, {k: gram[cls == k] for k in range(len(classes))})
+    return model
+
+
+def fit_language_filter(spark: SparkSession, sf_dir: str) -> LanguageFilter:
+    """Fits a filter on every labelled row of the documents table; rows of section type code make the class of code."""
+    label = F.when(F.col("section_type") == "code", CODE).otherwise(language_label(F.col("lang"), language_names(spark, sf_dir)))
+    return fit_on(spread(table(spark, sf_dir, "documents").select("text", label.alias("label"))))
 
 
 def _unread(s: dict[str, np.ndarray], texts: list[str]) -> list[int]:
@@ -381,8 +451,7 @@ def tag_passages(df: DataFrame, model: LanguageFilter, key: str = "doc_id", text
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of at least two sentences of a current record that its label does not name."""
-    sample = fit_sample(spark, sf_dir)
-    model = fit_language_filter(spark, sf_dir, sample)
+    model = fit_language_filter(spark, sf_dir)
     codes = language_names(spark, sf_dir)
     df = states(spark, sf_dir, "language").select("doc_id", "stored_at", language_label(F.col("language"), codes).alias("label"), "text")
     tagged = tag_documents(df, model, garble=fit_garble_model(spark, sf_dir)).select("doc_id", "stored_at", "label", "languages_mask")
@@ -396,8 +465,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of every current record with its language, confidence and place. Passages are made for each state next to the scan; only they are shuffled."""
-    sample = fit_sample(spark, sf_dir)
-    model = fit_language_filter(spark, sf_dir, sample)
+    model = fit_language_filter(spark, sf_dir)
     df = states(spark, sf_dir).where("text is not null").select(F.struct("doc_id", "stored_at").alias("state"), "text")
     got = tag_passages(df, model, key="state", garble=fit_garble_model(spark, sf_dir)).select("state.*", *PASSAGE)
     return of_latest(spark, sf_dir, got, "doc_id", "passage_no").select("doc_id", *PASSAGE)

@@ -144,7 +144,9 @@ def table_of_texts(spark, sf, tmp_path, n=9000):
     rows = []
     for i in range(n):
         lang, pool = rng.choice(pools)
-        rows.append((i, " ".join(rng.sample(pool, 2)) + f" {chr(0x3b1 + i % 24)}{i}", lang if rng.random() > 0.05 else None, "code" if i % 50 == 0 else "text"))
+        # a word that four documents have
+        word = "".join(chr(97 + i // 4 // 26**k % 26) for k in range(3)) + "qx"
+        rows.append((i, " ".join(rng.sample(pool, 2)) + f" {word} {chr(0x3b1 + i % 24)}{i}", lang if rng.random() > 0.05 else None, "code" if i % 50 == 0 else "text"))
     rows += [(n, None, "en", "text"), (n + 1, "", "en", None), (n + 2, "short\0text", "de", "text")]
     for p in Path(sf).glob("*.parquet"):
         if p.stem != "documents":
@@ -183,3 +185,29 @@ def test_counts_are_summed_in_the_worker(monkeypatch):
 def test_what_is_usual_grows_with_the_texts():
     few, many = (encoding.GarbleModel.fit(EN * n + ["ž"] * 2) for n in (20, 20_000))
     assert "ž" in few.singles and "ž" not in many.singles
+
+
+def test_languages_are_fitted_on_every_text(spark, sf, tmp_path, monkeypatch):
+    import numpy as np
+
+    rows = table_of_texts(spark, sf, tmp_path)
+    used, tag = [], language.tag_documents
+    monkeypatch.setattr(language, "tag_documents", lambda df, model, **k: (used.append(model), tag(df, model, **k))[1])
+    language.p1_found(spark, str(tmp_path))
+    names = {"French": "fr"}
+    labelled = [(r[1], "code" if r[3] == "code" else names.get(r[2], r[2])) for r in rows if r[1] and len(r[1]) > 40]
+    want = language.LanguageFilter.fit([t for t, x in labelled if x], [x for _, x in labelled if x])
+    got = used[0]
+    assert got.classes == want.classes == ["de", "en", "fr", "ru", "zh", "code"]
+    assert all((a == b).all() for a, b in zip(got.first + got.second, want.first + want.second))
+    assert np.allclose(got.false_rate, want.false_rate)
+
+
+def test_gram_sets():
+    import numpy as np
+
+    texts = ["", *EN, "x", "a\0bc", ZH[0], "", "ends"]
+    got = language.gram_sets(texts)
+    assert len(got) == len(texts) and not language.gram_sets([])
+    for t, h in zip(texts, got):
+        assert (h == np.unique(language.grams(language._points(t))[0])).all() and h.dtype == np.uint32
