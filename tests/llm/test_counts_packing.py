@@ -345,6 +345,33 @@ def test_many_trees_take_little_disk_at_once(spark, monkeypatch):
     assert len([p for p in session._WRITTEN if "loomline-signed-" in p]) == written
 
 
+def test_pairs_are_listed_once_without_a_shuffle_of_them(spark):
+    df = corpus(spark)
+    members, links = neardup.near_duplicates(df, df.count())
+    for compact in (True, False):
+        pairs = neardup.document_pairs(members, links.unionByName(links), compact)
+        got = [tuple(r) for r in pairs.collect()]
+        assert got and len(set(got)) == len(got)
+        assert not pairs._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+    assert set(got) <= brute_pairs(df)
+
+
+def test_labels_of_half_of_many_trees_are_written_at_once(spark, monkeypatch):
+    plan, sign = neardup.plan_forest(12_000_000), neardup.sign
+    widths = []
+
+    def watched(texts, trees, *args):
+        widths.append(trees)
+        return sign(texts, trees, *args)
+
+    monkeypatch.setattr(neardup, "plan_forest", lambda *_: plan)
+    monkeypatch.setattr(neardup, "sign", watched)
+    neardup.near_duplicates(corpus(spark), 100)
+    assert sum(widths) == plan[0] and max(widths) <= 64
+    # sketches come from the first trees alone
+    assert widths[0] * plan[2] >= neardup.SKETCH
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     from loomline import session
 
