@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import quantiles, running_total
-from .stats import binomial_interval, clip_bounds, poisson_interval, value_counts
+from .stats import binomial_interval, clip_bounds, close_pairs, poisson_interval, value_counts
 
 _STEPS = 80
 
@@ -271,25 +271,14 @@ def bootstrap(df: DataFrame, column: str, key: str, statistic: str = "mean", rep
 def ripley(df: DataFrame, key: str, x: Column, y: Column, radii: list[float], box: tuple[float, float, float, float], mode: str = "none") -> DataFrame:
     """(radius, k) of points in a box (x_min, y_min, x_max, y_max): pairs closer than the radius, without edge correction, weighted by the overlap of shifted boxes (translation), or from points farther from the edge than the radius (var-width).
 
-    Points meet only those in neighbouring cells as wide as the largest radius; counts combine before the shuffle.
+    Close pairs are summed cell by cell (``stats.close_pairs``).
     """
     x0, y0, x1, y1 = box
-    area, top = (x1 - x0) * (y1 - y0), max(radii)
+    area = (x1 - x0) * (y1 - y0)
     p = df.select(F.col(key).alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y")).where("x is not null and y is not null")
     edge = F.least(x1 - F.col("x"), y1 - F.col("y"), F.col("x") - x0, F.col("y") - y0)
-    a = p.select("id", "x", "y", edge.alias("edge"), F.floor((F.col("x") - x0) / top).alias("cx"), F.floor((F.col("y") - y0) / top).alias("cy"))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = a.select(F.col("id").alias("jd"), F.col("x").alias("u"), F.col("y").alias("v"), "cx", "cy", F.explode(near).alias("d"))
-    b = b.select("jd", "u", "v", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    dx, dy = F.abs(F.col("x") - F.col("u")), F.abs(F.col("y") - F.col("v"))
-    pairs = a.join(b, ["cx", "cy"]).where("id <> jd").select(F.hypot(dx, dy).alias("d"), "edge", (1 / ((x1 - x0 - dx) * (y1 - y0 - dy))).alias("w"))
-    close = lambda r: F.col("d") < r
-    measure = {
-        "none": lambda r: F.sum(F.when(close(r), 1.0)),
-        "translation": lambda r: F.sum(F.when(close(r), F.col("w"))),
-        "var-width": lambda r: F.sum(F.when(close(r) & (F.col("edge") > r), 1.0)),
-    }[mode]
-    got = pairs.agg(*[F.coalesce(measure(r), F.lit(0.0)).alias(f"r{i}") for i, r in enumerate(radii)])
+    a = p.select(edge.alias("edge"))
+    got = close_pairs(p, radii, box, mode)
     one = a.agg(F.count("*").alias("n"), *[F.sum((F.col("edge") > r).cast("long")).alias(f"e{i}") for i, r in enumerate(radii)])
     rows = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.col(f"r{i}").alias("m"), F.col(f"e{i}").alias("e")) for i, r in enumerate(radii)]))
     g = got.join(F.broadcast(one)).select("n", rows.alias("s")).select("n", "s.*")

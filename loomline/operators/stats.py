@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,6 +239,101 @@ def information_criteria(df: DataFrame, x: str, y: str) -> DataFrame:
     return a.select("n", "ssr", (fit + k * F.log(n)).alias("bic"), aic.alias("aic"))
 
 
+#: Points of a cell that meet others at once.
+POINTS = 512
+
+
+def _reach(r: float, inclusive: bool) -> float:
+    """The largest squared distance whose root is below the radius, or at most the radius."""
+    meets = (lambda v: math.sqrt(v) <= r) if inclusive else (lambda v: math.sqrt(v) < r)
+    v = r * r
+    while meets(v):
+        v = math.nextafter(v, math.inf)
+    while v >= 0 and not meets(v):
+        v = math.nextafter(v, -math.inf)
+    return v
+
+
+def close_pairs(p: DataFrame, radii: list[float], box: tuple[float, float, float, float], mode: str = "none", inclusive: bool = False) -> DataFrame:
+    """One row (r0, r1, ...): for each radius the pairs of points (id, x, y) with different ids that are closer, each counted in both orders.
+
+    The mode translation weighs a pair by the overlap of shifted boxes, var-width
+    counts it from points farther from the edge than the radius. Equal points
+    are one with a count. Points meet those of their own cell, as wide as the
+    largest radius, and of four neighbouring cells, in vector arithmetic;
+    rows with the same id are taken off again.
+    """
+    x0, y0, x1, y1 = box
+    top, own_box = max(radii), (x1 - x0, y1 - y0)
+    reach = [_reach(r, inclusive) for r in radii]
+    edge = F.least(F.lit(x1) - F.col("x"), F.lit(y1) - F.col("y"), F.col("x") - x0, F.col("y") - y0)
+    inf = float("inf")
+    q = p.where(F.col("id").isNotNull() & F.col("x").between(-1.7e308, 1.7e308) & F.col("y").between(-1.7e308, 1.7e308))
+    points = q.groupBy("x", "y").agg(F.count("*").alias("n"))
+    cells = points.select("x", "y", "n", F.floor((F.col("x") - x0) / top).alias("cx"), F.floor((F.col("y") - y0) / top).alias("cy"))
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
+    cells = cells.withColumn("d", F.explode(near))
+    cells = cells.select(F.lit(None).cast("string").alias("same"), (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), ((F.col("d.i") == 0) & (F.col("d.j") == 0)).alias("own"), "x", "y", "n")
+    # ids that occur again, each in a cell of its own, whose pairs count against the others
+    again = q.join(q.groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select("id"), "id")
+    again = again.groupBy(F.col("id").cast("string").alias("same"), "x", "y").agg(F.count("*").alias("n"))
+    again = again.select("same", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(True).alias("own"), "x", "y", "n")
+    every = cells.unionByName(again).withColumn("edge", edge)
+
+    def pairs(a: tuple, b: tuple, later: np.ndarray | None) -> np.ndarray:
+        """Sums over the pairs of two sets of points, sorted by y; ``later`` lets through one order of a set's own pairs."""
+        ax, ay, an, ae = (v[:, None] for v in a)
+        bx, by, bn, be = b
+        dx, dy = ax - bx, ay - by
+        v = dx * dx + dy * dy
+        ones = an.max() == 1 and bn.max() == 1
+        if mode == "translation":
+            with np.errstate(divide="ignore"):  # pairs as far apart as the box, beyond any radius
+                w = 1 / ((own_box[0] - np.abs(dx)) * (own_box[1] - np.abs(dy)))
+        out = np.zeros(len(radii))
+        for i, t in enumerate(reach):
+            m = v <= t
+            if later is not None:
+                m &= later
+            if mode == "translation":
+                out[i] = 2 * (an[:, 0] @ (np.where(m, w, 0.0) @ bn))
+            elif mode == "var-width":
+                far, out_far = ae[:, 0] > radii[i], be > radii[i]
+                out[i] = (an[:, 0] * far) @ (m @ bn) + an[:, 0] @ (m @ (bn * out_far))
+            else:
+                out[i] = 2 * (np.count_nonzero(m) if ones else an[:, 0] @ (m @ bn))
+        return out
+
+    def cell(batch: pa.Table) -> pa.Table:
+        same = batch.column("same")[0].as_py() is not None
+        own, x, y, n, e = (batch.column(c).to_numpy() for c in ("own", "x", "y", "n", "edge"))
+        n = n.astype(float)
+        order = np.argsort(y, kind="stable")
+        first, rest = order[own[order]], order[~own[order]]
+        mine, other = tuple(v[first] for v in (x, y, n, e)), tuple(v[rest] for v in (x, y, n, e))
+        # points at the same place are no farther than any radius
+        sums = np.zeros(len(radii))
+        twice = mine[2] * (mine[2] - 1)
+        for i, r in enumerate(radii):
+            if reach[i] >= 0:
+                each = twice * (mine[3] > r) if mode == "var-width" else twice
+                sums[i] = each.sum() / (own_box[0] * own_box[1] if mode == "translation" else 1)
+        # a little more than the largest radius, as differences are rounded
+        span = inf if same else top * (1 + 1e-9) + 1e-9 * np.abs(y).max(initial=0.0)
+        for s in range(0, len(first), POINTS):
+            some = tuple(v[s : s + POINTS] for v in mine)
+            z = np.searchsorted(mine[1], some[1][-1] + span, "right")
+            if z > s + 1:
+                sums += pairs(some, tuple(v[s:z] for v in mine), np.arange(z - s)[None, :] > np.arange(len(some[0]))[:, None])
+            a, z = np.searchsorted(other[1], some[1][0] - span), np.searchsorted(other[1], some[1][-1] + span, "right")
+            for k in range(a, z, 8 * POINTS):
+                sums += pairs(some, tuple(v[k : min(z, k + 8 * POINTS)] for v in other), None)
+        return pa.table({f"r{i}": [-t if same else t] for i, t in enumerate(sums.tolist())})
+
+    got = every.groupBy("same", "cx", "cy").applyInArrow(cell, ", ".join(f"r{i} double" for i in range(len(radii))))
+    return got.agg(*[F.coalesce(F.sum(f"r{i}"), F.lit(0.0)).alias(f"r{i}") for i in range(len(radii))])
+
+
 def ripley_k(df: DataFrame, key: str, x: Column, y: Column, radii: list[float], area: float) -> DataFrame:
     """(radius, k, l, h, poisson) without edge correction.
 

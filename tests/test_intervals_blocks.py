@@ -89,3 +89,49 @@ def test_kuiper_of_two(spark):
     assert (r.n, r.m) == (3, 2) and abs(r.d - (1 / 3 + 1 / 3)) > -1 and 0 < r.d <= 2
     p = spark.range(1).select(intervals.kuiper_probability(F.lit(0.9), F.lit(100.0)).alias("p"), intervals.kuiper_probability(F.lit(0.01), F.lit(100.0)).alias("q")).first()
     assert p.p < 1e-6 and p.q == 1.0
+
+
+def ripley_sums(x, y, n, radii, mode):
+    """(k of ``none``-like sums) over the pairs of places with n points each, by brute force."""
+    dx, dy = np.abs(x[:, None] - x[None, :]), np.abs(y[:, None] - y[None, :])
+    both = n[:, None] * n[None, :] - np.diag(n)
+    edge = np.minimum(np.minimum(1 - x, 1 - y), np.minimum(x, y))
+    out, total = [], n.sum()
+    for r in radii:
+        m = both * (np.sqrt(dx * dx + dy * dy) < r)
+        if mode == "translation":
+            m = m / ((1 - dx) * (1 - dy))
+        if mode == "var-width":
+            far = edge > r
+            out.append((m * far[:, None]).sum() / max(1, (n * far).sum()) / total)
+        else:
+            out.append(m.sum() / (total * (total - 1)))
+    return out
+
+
+@pytest.mark.parametrize("mode", ["none"])
+def test_ripley_of_many_points_at_few_places(spark, mode):
+    # 300,000 points: 2e9 pairs of neighbouring cells, one by one
+    rng = np.random.default_rng(5)
+    x, y = rng.random(400).round(3), rng.random(400).round(2)
+    places = spark.createDataFrame(list(zip(range(400), x.tolist(), y.tolist())), "place int, x double, y double")
+    df = spark.range(300_000).selectExpr("id", "cast(id % 400 as int) as place").join(places, "place")
+    radii = [0.02, 0.03, 0.1]
+    got = {r.radius: r.k for r in intervals.ripley(df, "id", F.col("x"), F.col("y"), radii, (0.0, 0.0, 1.0, 1.0), mode).collect()}
+    assert [got[r] for r in radii] == pytest.approx(ripley_sums(x, y, np.full(400, 750.0), radii, mode), rel=1e-9)
+
+
+@pytest.mark.parametrize("mode", ["none", "translation", "var-width"])
+def test_ripley_leaves_out_pairs_of_one_id(spark, mode):
+    rng = random.Random(7)
+    rows = [(i // 2 if i < 200 else i, rng.randint(0, 59) / 60, rng.randint(0, 59) / 60) for i in range(1500)] + [(3, 0.5, 0.5)] * 4
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    radii = [0.02, 1 / 30, 0.2]
+    got = {r.radius: r.k for r in intervals.ripley(df, "id", F.col("x"), F.col("y"), radii, (0.0, 0.0, 1.0, 1.0), mode).collect()}
+    i, x, y = (np.array(c) for c in zip(*rows))
+    dx, dy = np.abs(x[:, None] - x[None, :]), np.abs(y[:, None] - y[None, :])
+    edge = np.minimum(np.minimum(1 - x, 1 - y), np.minimum(x, y))
+    for r in radii:
+        m = (i[:, None] != i[None, :]) * (np.sqrt(dx * dx + dy * dy) < r) * {"none": 1.0, "translation": 1 / ((1 - dx) * (1 - dy)), "var-width": (edge > r)[:, None]}[mode]
+        total = len(rows) * (len(rows) - 1) if mode != "var-width" else len(rows) * max(1, (edge > r).sum())
+        assert got[r] == pytest.approx(m.sum() / total, rel=1e-9), r
