@@ -109,11 +109,11 @@ def ripley_sums(x, y, n, radii, mode):
     return out
 
 
-@pytest.mark.parametrize("mode", ["none"])
+@pytest.mark.parametrize("mode", ["none", "translation"])
 def test_ripley_of_many_points_at_few_places(spark, mode):
     # 300,000 points: 2e9 pairs of neighbouring cells, one by one
     rng = np.random.default_rng(5)
-    x, y = rng.random(400).round(3), rng.random(400).round(2)
+    x, y = rng.random(400).round(3), rng.random(400).round(2) * 0.9
     places = spark.createDataFrame(list(zip(range(400), x.tolist(), y.tolist())), "place int, x double, y double")
     df = spark.range(300_000).selectExpr("id", "cast(id % 400 as int) as place").join(places, "place")
     radii = [0.02, 0.03, 0.1]
