@@ -335,23 +335,13 @@ def close_pairs(p: DataFrame, radii: list[float], box: tuple[float, float, float
 
 
 def ripley_k(df: DataFrame, key: str, x: Column, y: Column, radii: list[float], area: float) -> DataFrame:
-    """(radius, k, l, h, poisson) without edge correction.
-
-    Points meet only those in their own and neighbouring cells of a grid as wide as the largest radius; counts combine before the shuffle.
-    """
-    top = max(radii)
+    """(radius, k, l, h, poisson) without edge correction."""
     p = df.select(F.col(key).alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y")).where("x is not null and y is not null")
-    cell = lambda c: F.floor(F.col(c) / top)
-    a = p.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = a.select(F.col("id").alias("jd"), F.col("x").alias("u"), F.col("y").alias("v"), "cx", "cy", F.explode(near).alias("d")).select("jd", "u", "v", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    dist = F.sqrt((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2)
-    pairs = a.join(b, ["cx", "cy"]).where("id < jd").select(dist.alias("d")).where(F.col("d") <= top)
-    got = pairs.agg(*[F.coalesce(F.sum((F.col("d") <= r).cast("long")), F.lit(0)).alias(f"r{i}") for i, r in enumerate(radii)])
+    got = close_pairs(p, radii, (0.0, 0.0, 1.0, 1.0), inclusive=True)
     rows = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.col(f"r{i}").alias("m")) for i, r in enumerate(radii)]))
     one = p.agg(F.count("*").alias("n"))
     g = got.select(rows.alias("r")).select("r.*").join(F.broadcast(one))
-    k = F.lit(float(area)) * F.try_divide(2 * F.col("m"), F.col("n") * (F.col("n") - 1))
+    k = F.lit(float(area)) * F.try_divide(F.col("m"), F.col("n") * (F.col("n") - 1))
     return g.select("radius", k.alias("k"), F.sqrt(k / math.pi).alias("l"), (F.sqrt(k / math.pi) - F.col("radius")).alias("h"), (math.pi * F.col("radius") ** 2).alias("poisson"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import blocks, intervals
+from loomline.operators import blocks, intervals, stats
 
 
 @pytest.mark.parametrize("kind", ["events", "ticks", "measures"])
@@ -135,3 +135,14 @@ def test_ripley_leaves_out_pairs_of_one_id(spark, mode):
         m = (i[:, None] != i[None, :]) * (np.sqrt(dx * dx + dy * dy) < r) * {"none": 1.0, "translation": 1 / ((1 - dx) * (1 - dy)), "var-width": (edge > r)[:, None]}[mode]
         total = len(rows) * (len(rows) - 1) if mode != "var-width" else len(rows) * max(1, (edge > r).sum())
         assert got[r] == pytest.approx(m.sum() / total, rel=1e-9), r
+
+
+def test_ripley_k_of_many_points_at_few_places(spark):
+    # the radius itself counts here
+    x, y = np.array([0.0, 0.25, 0.5, 0.75, 0.75]), np.array([0.5, 0.5, 0.5, 0.5, 0.0])
+    places = spark.createDataFrame(list(zip(range(5), x.tolist(), y.tolist())), "place int, x double, y double")
+    df = spark.range(300_000).selectExpr("id", "cast(id % 5 as int) as place").join(places, "place")
+    got = {r.radius: r.k for r in stats.ripley_k(df, "id", F.col("x"), F.col("y"), [0.2, 0.25, 0.5], 1.0).collect()}
+    n, total = 60_000, 300_000 * 299_999
+    # places as far apart as 0.25 and 0.5: three and three pairs
+    assert got == pytest.approx({0.2: 5 * n * (n - 1) / total, 0.25: (5 * n * (n - 1) + 6 * n * n) / total, 0.5: (5 * n * (n - 1) + 12 * n * n) / total}, rel=1e-9)
